@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylake.llm import packing, quality, simhash, suffix
+from quarrylake.llm import packing, quality, secrets, simhash, suffix
 from quarrylake.llm.common import Scratch
 
 
@@ -26,6 +26,11 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return suffix.without_repeats(spark, docs)
 
 
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(spark, docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, tokenised and packed into sequences of at most 2048 tokens."""
     return packing.pack(spark, docs)
@@ -35,6 +40,7 @@ STAGES = [
     ("quality", quality_rules),
     ("near_duplicates", near_duplicates),
     ("repeated_text", repeated_text),
+    ("secrets", secret_spans),
     ("packing", packed),
 ]
 

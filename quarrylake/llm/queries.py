@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, packing, quality, simhash, suffix
+from . import debruijn, language, licenses, packing, quality, secrets, simhash, suffix
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,14 @@ def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
@@ -32,8 +44,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_debruijn": op4_debruijn,
+    "op5_licenses": op5_licenses,
+    "op6_language": op6_language,
     "op7_suffix": op7_suffix,
     "op9_packing": op9_packing,
 }
