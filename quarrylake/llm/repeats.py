@@ -197,7 +197,8 @@ def candidates(scratch: Scratch, docs: DataFrame, unit: Unit) -> tuple[DataFrame
     groups = scratch.keep(groups)
     lead = one.join(groups, (one["sha"] == groups["sha"]) & one["doc_id"].eqNullSafe(groups["least"])).select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
     lead = scratch.keep(lead)
-    again = lead.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("own")).where("n > 1 or own").select("gram")
+    # Kept as a table: a join of two plain inputs lets adaptive execution split a frequent gram.
+    again = scratch.keep(lead.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("own")).where("n > 1 or own").select("gram"))
     runs = lead.join(again, "gram").groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
     found = scratch.keep(contexts(keyed(docs), runs, unit))
     scratch.drop(lead)
