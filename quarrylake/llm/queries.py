@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, language, licenses, packing, quality, secrets, simhash, suffix
+from . import debruijn, language, licenses, media, packing, quality, secrets, segment, simhash, suffix
 from .common import table
 
 
@@ -38,10 +38,19 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images; every vector is rendered as one, and copies among all sought."""
+    return media.image_copies(spark, media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sample_segmentations(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -50,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_language": op6_language,
     "op7_suffix": op7_suffix,
+    "op8_media": op8_media,
     "op9_packing": op9_packing,
+    "op10_segment": op10_segment,
 }
 ORACLE_SQL: dict[str, str] = {}
