@@ -24,7 +24,7 @@ from .common import Scratch, Writer
 WINDOW = 400
 UNIT = repeats.Unit("byte", WINDOW, 200)
 #: Bytes of stretches in one suffix array.
-SHARD = 2_000_000
+SHARD = 1_000_000
 
 
 def suffix_array(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
