@@ -139,14 +139,14 @@ def from_json(v, t):
         return None
     k = kind(t)
     if k == "date":
-        return dt.date.fromisoformat(v) if isinstance(v, str) else EPOCH_DAY + dt.timedelta(v)
+        return dt.date.fromisoformat(v) if isinstance(v, str) else v if isinstance(v, dt.date) else EPOCH_DAY + dt.timedelta(v)
     if k in ("timestamp", "timestamptz"):
-        out = dt.datetime.fromisoformat(v) if isinstance(v, str) else EPOCH + dt.timedelta(microseconds=v)
+        out = dt.datetime.fromisoformat(v) if isinstance(v, str) else v if isinstance(v, dt.datetime) else EPOCH + dt.timedelta(microseconds=v)
         return out.replace(tzinfo=dt.timezone.utc) if k == "timestamptz" and out.tzinfo is None else out
     if k in ("binary", "fixed"):
         return bytes.fromhex(v) if isinstance(v, str) else bytes(v)
     if k == "uuid":
-        return uuid.UUID(v).bytes
+        return uuid.UUID(v).bytes if isinstance(v, str) else bytes(v)
     if k == "decimal":
         return Decimal(str(v))
     return v

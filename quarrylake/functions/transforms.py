@@ -165,12 +165,15 @@ def murmur3_long(c: Column) -> Column:
         k = times(turned(times(word, 0xCC9E2D51), 15), 0x1B873593)
         return (turned(h.bitwiseXOR(k), 13) * 5 + F.lit(0xE6546B64)).bitwiseAND(F.lit(MASK))
 
+    def folded(a: Column, n: int) -> Column:
+        return _once(a, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, n)))
+
     def whole(x: Column) -> Column:
         h = reduce(step, (x.bitwiseAND(F.lit(MASK)), F.shiftrightunsigned(x, 32)), F.lit(0).cast("long"))
         h = h.bitwiseXOR(F.lit(8).cast("long"))
         for shift, mult in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-            h = times(_once(h, lambda y, n=shift: y.bitwiseXOR(F.shiftrightunsigned(y, n))), mult)
-        return _once(h, lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, 16)))
+            h = times(folded(h, shift), mult)
+        return folded(h, 16)
 
     return _once(c.cast("long"), whole)
 
