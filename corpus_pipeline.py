@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.llm import packing, quality, secrets, simhash, suffix
-from quarrylake.llm.common import Scratch
+from quarrylake.llm.common import Scratch, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go; documents that fail the base rules or lose too much of their text go."""
+    small_batches(spark)
     return quality.keep_clean(docs)
 
 

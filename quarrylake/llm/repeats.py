@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, Writer, rows_of, text_bytes
 
 #: Units that are hashed at a time; longer documents are cut with an overlap of a window.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -32,7 +32,7 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        m = max(n, CHUNK // 4)
+        m = max(n, CHUNK)
         inverse = pow(_BASE, -1, 1 << 64)
         ones = [np.full(m, np.uint64(b)) for b in (_BASE, inverse)]
         for x in ones:

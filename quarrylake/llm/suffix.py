@@ -24,7 +24,9 @@ from .common import Scratch, Writer
 WINDOW = 400
 UNIT = repeats.Unit("byte", WINDOW, 200)
 #: Bytes of stretches in one suffix array.
-SHARD = 1_000_000
+SHARD = 400_000
+#: Pairs that are compared at a time.
+PAIRS = 8192
 
 
 def suffix_array(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +94,12 @@ def kasai(text: np.ndarray, room: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     padded = np.concatenate((text, np.zeros(64, np.uint8)))
     cols = np.arange(64)
     while len(live):
-        p, q = x[live] + length[live], y[live] + length[live]
+        own, live = live[:PAIRS], live[PAIRS:]
+        p, q = x[own] + length[own], y[own] + length[own]
         differ = padded[p[:, None] + cols] != padded[q[:, None] + cols]
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), 64)
-        length[live] = np.minimum(length[live] + same, limit[live])
-        live = live[(same == 64) & (length[live] < limit[live])]
+        length[own] = np.minimum(length[own] + same, limit[own])
+        live = np.concatenate((live, own[(same == 64) & (length[own] < limit[own])]))
     size = np.diff(np.append(start, len(a)))
     lcp = np.empty(len(a), np.int64)
     value = np.repeat(length, size) - (np.arange(len(a)) - np.repeat(start, size))
