@@ -27,7 +27,7 @@ from .common import Scratch, Writer, rows_of, text_bytes
 
 TOKENS = 2048
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-WORD_CACHE = 100_000
+WORD_CACHE = 200_000
 
 
 def tokenizer_path() -> str:
