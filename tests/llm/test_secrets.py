@@ -5,6 +5,8 @@ import re
 from quarrylake.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+#: The other two kinds, with the least number of characters of a match.
+ACCESS_HEX = ((re.compile("AKIA[A-Z0-9]+"), 18), (re.compile("[0-9a-f]+"), 16))
 
 
 def base(text):
