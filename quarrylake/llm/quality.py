@@ -152,3 +152,47 @@ def keep_clean(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+#: The query ``op3_quality`` in DuckDB. A bar of navigation is a word of its own with white
+#: space on both sides; rows are numbered, as ids may repeat.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+u AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+v AS (SELECT r, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS n FROM v WHERE z IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM c CROSS JOIN (VALUES (0), (1), (2)) AS s(k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+lf AS (
+    SELECT r, line, len(ws) AS n,
+        len(list_filter(ws, lambda x: x IN ('|', '>', '»', '›', '→', '·', '/')))
+            - CASE WHEN ws[1] IN ('|', '>', '»', '›', '→', '·', '/') AND NOT regexp_matches(line, '^[\x20\x09-\x0D]') THEN 1 ELSE 0 END
+            - CASE WHEN ws[-1] IN ('|', '>', '»', '›', '→', '·', '/') AND NOT regexp_matches(line, '[\x20\x09-\x0D]$') AND (len(ws) > 1 OR regexp_matches(line, '^[\x20\x09-\x0D]')) THEN 1 ELSE 0 END AS bars,
+        len(list_distinct(ws)) AS apart, right(ws[-1], 1) AS ending
+    FROM lw WHERE len(ws) > 0),
+f AS (
+    SELECT r, line, n, CASE
+        WHEN bars >= 3 AND 4 * bars >= n THEN 1
+        WHEN n <= 25 AND regexp_matches(line, '(?i)\b(?:enable javascript|javascript (?:is|must)|accept (?:all )?cookies|uses cookies|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|click here|read more|sign in|log in|subscribe (?:now|to)|skip to (?:main )?content|lorem ipsum|share (?:on|this)|back to top)\b|[{}][\x20\x09-\x0D]*$|^[\x20\x09-\x0D]*(?:function|var|const)\b.*[;{]') THEN 2
+        WHEN 5 * len(regexp_extract_all(line, '[#*$%&|<>]{2,}|[.,!?]{3,}')) > n + 4 THEN 3
+        WHEN n >= 4 AND NOT regexp_matches(line, '[a-z]') AND regexp_matches(line, '[A-Z]{2}') THEN 4
+        WHEN n >= 6 AND 4 * apart <= n THEN 5
+        WHEN n < 4 AND ending NOT IN ('.', '!', '?', ':', ';', '"', chr(39), ')', '…', '”', '»', '。') THEN 6
+        ELSE 0 END AS fault
+    FROM lf),
+b AS (
+    SELECT r, count(*) FILTER (fault > 0) AS bad, coalesce(sum(n) FILTER (fault > 0), 0) AS lost, count(*) - count(DISTINCT line) AS dup,
+        list_sort(list(DISTINCT fault) FILTER (fault > 0)) AS faults
+    FROM f GROUP BY r),
+j AS (
+    SELECT d.doc_id, len(w.ws) AS n, coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0) AS chars, len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS symbols,
+        coalesce(b.dup, 0) AS dup, coalesce(rep.n, 0) AS repeats, coalesce(b.bad, 0) AS bad, coalesce(b.lost, 0) AS lost, b.faults
+    FROM d JOIN w USING (r) LEFT JOIN b USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+    CAST(repeats AS BIGINT) AS n_repeat_words, n < 50 OR 100 * repeats > 50 * n AS base_failed,
+    NOT (n < 50 OR 100 * repeats > 50 * n) AND lost <= CAST(0.4 AS DOUBLE) * n AS kept, CAST(bad AS BIGINT) AS n_lines_failed, CAST(lost AS BIGINT) AS n_words_lost,
+    coalesce(array_to_string(list_transform(faults, lambda k: ['navigation', 'boilerplate', 'decoration', 'shouting', 'one_word', 'no_close'][k]), ','), '') AS line_rules
+FROM j
+"""

@@ -63,4 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_segment": op10_segment,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hash, learn, search or tokenise in ways that SQL has no functions for.
+ORACLE_SQL: dict[str, str] = {"op3_quality": quality.SQL}

@@ -51,6 +51,23 @@ def test_quality_base(spark):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
+def test_quality_sql(spark):
+    """The SQL gives the same on texts made of what the line rules look for."""
+    import duckdb
+
+    rng = random.Random(21)
+    pool = ["|", ">", "»", "a|b", "Home", "read more", "READ", "ABC", "x", "x", "é.", "##", "!!!", "$$%", "{", "const x;", "(c)", "ends.", " ", "\t", "\x0b", "…", "privacy policy", "🙂"]
+    line = lambda: rng.choice(["", " ", "\t"]) + " ".join(rng.choice(pool[: rng.choice((4, 10, 24))]) for _ in range(rng.randint(0, 14))) + rng.choice(["", " ", "\r", "."])
+    rows = odd_rows() + [(500 + i, "\n".join(line() for _ in range(rng.randint(0, 25)))) for i in range(300)]
+    got = quality.quality(frame(spark, rows))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(quality.SQL)
+    assert want.columns == got.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_quality_lines(spark):
     rng = random.Random(12)
     good = "".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) + ".\n" for _ in range(20))
