@@ -11,6 +11,7 @@ equal content are represented by one of them.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,27 @@ def _slide(ufunc: np.ufunc, x: np.ndarray, w: int, fill: int) -> np.ndarray:
     return ufunc(right[: n - w + 1], left[w - 1 : n])
 
 
+def rolling(sym: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbours among the symbols."""
+    n = len(sym)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    power, inverse = _power_tables(n)
+    s = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sym * power[:n])))
+    v = (s[size:] - s[:-size]) * inverse[: n - size + 1]
+    v ^= v >> np.uint64(32)
+    v *= np.uint64(0xD6E8FEB86659FD93)
+    v ^= v >> np.uint64(29)
+    return v
+
+
+def rolling_pair(sym: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two such hashes, of the symbols and of the symbols mixed anew: 128 bits together."""
+    other = sym ^ (sym >> np.uint64(33))
+    other = (other * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (other >> np.uint64(27))
+    return rolling(sym, size), rolling(other, size)
+
+
 def minimizer_runs(sym: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(first, last, gram, again)`` of the runs of windows in documents that end at ``ends``.
 
@@ -61,12 +83,7 @@ def minimizer_runs(sym: np.ndarray, ends: np.ndarray, window: int, k: int) -> tu
     if n < window:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(bool)
-    power, inverse = _power_tables(n)
-    s = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sym * power[:n])))
-    v = (s[k:] - s[:-k]) * inverse[: n - k + 1]
-    v ^= v >> np.uint64(32)
-    v *= np.uint64(0xD6E8FEB86659FD93)
-    v ^= v >> np.uint64(29)
+    v = rolling(sym, k)
     least = _slide(np.minimum, v, w, (1 << 64) - 1)
     valid = np.ones(n, bool)
     for e in ends.tolist():
@@ -83,6 +100,11 @@ def minimizer_runs(sym: np.ndarray, ends: np.ndarray, window: int, k: int) -> tu
     return first, last, gram.view(np.int64), again
 
 
+def word_symbols(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(map(digest, words), np.uint64, len(words)) | np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Unit:
     """What a document is a sequence of, and the windows that count."""
@@ -90,15 +112,14 @@ class Unit:
     name: str
     window: int
     k: int
+    chunk: int = CHUNK
 
     def split(self, data: bytes) -> tuple[np.ndarray, Callable[[int, int], bytes], bytes]:
         """Symbols, a function giving the text of a stretch, and the text that is compared whole."""
         if self.name == "byte":
             return _TABLE[np.frombuffer(data, np.uint8)], lambda a, b: data[a:b], data
         words = data.split()
-        digest = xxhash.xxh64_intdigest
-        sym = np.fromiter(map(digest, words), np.uint64, len(words)) | np.uint64(1)
-        return sym, lambda a, b: b" ".join(words[a:b]), b" ".join(words)
+        return word_symbols(words), lambda a, b: b" ".join(words[a:b]), b" ".join(words)
 
 
 _INFO = pa.schema(
@@ -108,9 +129,9 @@ _INFO = pa.schema(
 INFO = "doc_id long, key long, sha binary, n long, gram array<long>, first array<long>, last array<long>, again array<boolean>"
 
 
-def _stretches(n: int, window: int) -> Iterator[tuple[int, int]]:
-    for at in range(0, max(n - window + 1, 0), CHUNK):
-        yield at, min(at + CHUNK + window - 1, n)
+def _stretches(n: int, unit: Unit) -> Iterator[tuple[int, int]]:
+    for at in range(0, max(n - unit.window + 1, 0), unit.chunk):
+        yield at, min(at + unit.chunk + unit.window - 1, n)
 
 
 def describe(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -139,7 +160,7 @@ def describe(docs: DataFrame, unit: Unit) -> DataFrame:
         for doc, key, data in rows_of(batches, "doc_id", "key", "data"):
             sym, _, whole = unit.split(data)
             held.append((doc, key, hashlib.sha256(whole).digest(), len(sym)))
-            for a, b in _stretches(len(sym), unit.window):
+            for a, b in _stretches(len(sym), unit):
                 parts.append((len(held) - 1, a, sym[a:b]))
                 size += b - a
             if size >= CHUNK // 2 or len(held) >= 2000:
@@ -188,21 +209,39 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(data).alias("key"), data.alias("data"))
 
 
-def candidates(scratch: Scratch, docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(info, copies, stretches)``: INFO rows, ``(sha, copies)`` of contents that occur more
-    than once, and CTX rows of one document a content, for runs whose gram occurs again."""
-    info = scratch.keep(describe(keyed(docs), unit))
-    groups = info.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    one = info.where(F.size("gram") > 0).select("sha", "doc_id", "key", F.arrays_zip("gram", "first", "last", "again").alias("runs"))
-    groups = scratch.keep(groups)
-    lead = one.join(groups, (one["sha"] == groups["sha"]) & one["doc_id"].eqNullSafe(groups["least"])).select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
-    lead = scratch.keep(lead)
+def once(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """Keyed rows, those of equal id and text once; a plain pass where no row repeats."""
+    rows = keyed(docs)
+    repeated = info.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "key"]) if repeated else rows
+
+
+@dataclass
+class Found:
+    """What ``candidates`` gives: INFO rows, ``copies(sha, copies)`` of contents that occur more
+    than once, CTX rows of one row a content for runs whose gram occurs again, and the keyed
+    rows without repeated ones."""
+
+    info: DataFrame
+    copies: DataFrame
+    found: DataFrame
+    docs: DataFrame
+
+
+def candidates(scratch: Scratch, docs: DataFrame, unit: Unit) -> Found:
+    """The stretches that can hold repeats. One row leads each content, however often its id
+    and text are repeated, so what follows grows with the distinct texts."""
+    info = scratch.keep(describe(keyed(docs), unit).withColumn("row", F.monotonically_increasing_id()))
+    groups = scratch.keep(info.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row")).alias("least")).select("sha", "copies", F.col("least.row").alias("row")))
+    one = info.where(F.size("gram") > 0).select("sha", "row", "doc_id", "key", F.arrays_zip("gram", "first", "last", "again").alias("runs"))
+    lead = scratch.keep(one.join(groups.select("sha", "row"), ["sha", "row"]).select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*"))
     # Kept as a table: a join of two plain inputs lets adaptive execution split a frequent gram.
     again = scratch.keep(lead.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("own")).where("n > 1 or own").select("gram"))
     runs = lead.join(again, "gram").groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
-    found = scratch.keep(contexts(keyed(docs), runs, unit))
+    rows = once(docs, info)
+    found = scratch.keep(contexts(rows, runs, unit))
     scratch.drop(lead)
-    return info, groups.where("copies > 1").select("sha", "copies"), found
+    return Found(info, groups.where("copies > 1").select("sha", "copies"), found, rows)
 
 
 def stretches(found: DataFrame) -> DataFrame:
@@ -258,7 +297,7 @@ def cut(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
 
 
 def kept_text(data: bytes, merged: list[tuple[int, int]], unit: Unit) -> bytes:
-    """What is left of a document without its spans."""
+    """What is left of a document without its spans; words are joined by one space."""
     units = data if unit.name == "byte" else data.split()
     parts, at = [], 0
     for a, b in merged:
@@ -268,24 +307,40 @@ def kept_text(data: bytes, merged: list[tuple[int, int]], unit: Unit) -> bytes:
     return b"".join(parts) if unit.name == "byte" else b" ".join(w for p in parts for w in p)
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_text(data: bytes, merged: list[tuple[int, int]], unit: Unit) -> bytes:
+    """A document without its spans that otherwise stays as it is. Words go with the white space
+    behind them; the last word of all goes without."""
+    if unit.name == "word":
+        start, end = zip(*((m.start(), m.end()) for m in _WORD.finditer(data)))
+        merged = [(start[a], start[b] if b < len(start) else end[-1]) for a, b in merged]
+    return kept_text(data, merged, Unit("byte", 1, 1))
+
+
 def outcome(scratch: Scratch, docs: DataFrame, unit: Unit, hits: Callable[[Scratch, DataFrame, Unit], DataFrame]) -> DataFrame:
-    """A row for every document: doc_id, n, n_removed, n_spans, kept_sha256."""
-    info, copies, found = candidates(scratch, docs, unit)
-    return outcome_of(scratch, docs, unit, info, copies, found, hits(scratch, found, unit))
+    """A row for every document: doc_id, n, n_removed, n_spans, kept_sha256, sha, copies."""
+    own = candidates(scratch, docs, unit)
+    return outcome_of(scratch, unit, own, spans(own.found, hits(scratch, own.found, unit), unit))
 
 
-def outcome_of(scratch: Scratch, docs: DataFrame, unit: Unit, info: DataFrame, copies: DataFrame, found: DataFrame, hit: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """The same from parts that exist; ``extra(doc_id, key, ...)`` adds columns."""
-    place = scratch.keep(spans(found, hit, unit))
+def outcome_of(scratch: Scratch, unit: Unit, own: Found, part: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """The same from spans ``part(doc_id, key, spans)``; ``extra(doc_id, key, ...)`` adds columns."""
+    place = scratch.keep(part)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    done = cut(keyed(docs), place, unit).dropDuplicates(["doc_id", "key"])
+    done = cut(own.docs, place, unit)
     more = []
     if extra is not None:
         more = [c for c in extra.columns if c not in ("doc_id", "key")]
-        done = done.join(extra, same(done, extra), "left").drop(extra["doc_id"]).drop(extra["key"])
+        # The documents with an extra are not always those with spans.
+        done = done.withColumnRenamed("doc_id", "own_doc").withColumnRenamed("key", "own_key")
+        done = extra.join(done, extra["doc_id"].eqNullSafe(done["own_doc"]) & (extra["key"] == done["own_key"]), "full")
+        either = lambda a, b: F.when(F.col("key").isNull(), F.col(b)).otherwise(F.col(a))
+        done = done.select(either("doc_id", "own_doc").alias("doc_id"), F.coalesce("key", "own_key").alias("key"), "n_removed", "n_spans", "kept_sha256", *more)
     done = scratch.keep(done)
-    scratch.drop(found)
-    left = info.select("doc_id", "key", "sha", "n").join(copies, "sha", "left")
+    scratch.drop(own.found)
+    left = own.info.select("doc_id", "key", "sha", "n").join(own.copies, "sha", "left")
     left = left.join(done, same(left, done), "left").drop(done["doc_id"]).drop(done["key"])
     whole = (F.col("copies") > 1) & (F.col("n") >= unit.window)
     pick = lambda all_of_it, part, none: F.when(whole, all_of_it).otherwise(F.coalesce(part, none))
@@ -297,31 +352,39 @@ def outcome_of(scratch: Scratch, docs: DataFrame, unit: Unit, info: DataFrame, c
         pick(F.lit(1).cast("long"), F.col("n_spans"), zero).alias("n_spans"),
         pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha256"), F.lower(F.hex("sha"))).alias("kept_sha256"),
         *more,
+        "sha",
+        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
     )
 
 
 def removed(spark: SparkSession, docs: DataFrame, unit: Unit, hits: Callable) -> DataFrame:
-    """``docs`` without the text that repeats; all columns pass through, ``n_chars`` counted anew.
+    """``docs`` without the text that repeats; all columns pass through, whatever their names,
+    ``n_chars`` counted anew.
 
-    Documents whose content occurs more than once keep nothing of it if a window fits in.
+    Documents whose content occurs more than once keep nothing of it if a window fits in. A
+    null text stays null and an empty one empty; repeated rows come back repeated; an empty
+    table gives no rows.
     """
     scratch = Scratch(spark)
-    info, copies, found = candidates(scratch, docs, unit)
-    part = spans(found, hits(scratch, found, unit), unit)
-    double = info.where(F.col("n") >= unit.window).join(copies, "sha").select("doc_id", "key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))
+    own = candidates(scratch, docs, unit)
+    part = spans(own.found, hits(scratch, own.found, unit), unit)
+    double = own.info.where(F.col("n") >= unit.window).join(own.copies, "sha").select("doc_id", "key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))
     place = scratch.keep(double.distinct().unionByName(part).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    scratch.drop(found)
+    scratch.drop(own.found)
 
     @F.pandas_udf("string")
     def rest(data, own):
         import pandas as pd
 
-        return pd.Series([d.decode("utf-8", "replace") if s is None else kept_text(d, merge_spans(s), unit).decode("utf-8", "ignore") for d, s in zip(data, own)])
-
-    mark = F.xxhash64(text_bytes())
-    rows = docs.withColumn("__key", mark)
-    joined = rows.join(place.hint("shuffle_hash"), rows["doc_id"].cast("long").eqNullSafe(place["doc_id"]) & (rows["__key"] == place["key"]), "left")
-    text: Column = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest(text_bytes(), F.col("spans")))
-    cols = [text.alias("text") if c == "text" else rows[c] for c in docs.columns]
-    out = joined.select(*cols)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        return pd.Series([None if s is None else cut_text(d, merge_spans(s), unit).decode("utf-8", "ignore") for d, s in zip(data, own)])
+
+    # The row travels as one column, so that no name of its columns meets one used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row").getField("text")
+    keyed_ = rows.select("row", F.col("row").getField("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b""))).alias("mark"))
+    joined = keyed_.join(place.hint("shuffle_hash"), keyed_["id"].eqNullSafe(place["doc_id"]) & (keyed_["mark"] == place["key"]), "left")
+    data = F.when(F.col("spans").isNotNull(), text.cast("binary"))
+    fresh = F.when(F.col("spans").isNull(), text).otherwise(rest(data, F.col("spans")))
+    fresh = joined.select("row", fresh.alias("fresh"))
+    size = lambda: F.length("fresh").cast(docs.schema["n_chars"].dataType)
+    return fresh.select(*[F.col("fresh").alias("text") if c == "text" else size().alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,16 +1,20 @@
-"""Repeated byte strings by suffix arrays: Larsson-Sadakane refinement, Kasai, shard merging.
+"""Repeated strings of bytes or words by suffix arrays: Larsson-Sadakane refinement, Kasai, merging.
 
 Stretches that may hold repeats (see ``repeats``) are dealt out by their gram into shards of a
 few megabytes. A shard sorts its suffixes by prefix doubling that refines unsorted groups alone
 (Larsson and Sadakane) up to the window's length, takes common prefixes of neighbours by Kasai's
 rule in its vectorised form, and marks windows whose common prefix with a neighbour reaches the
-window. A gram with more text than a shard spreads over several; each then hands on one digest
-a distinct window, sorted, and windows of other shards are found in these runs by binary search.
+window. A gram with more text than a shard spreads over several; each then hands on the 128-bit hash of
+every distinct window, and the windows of other shards are found among the sorted hashes by
+binary search.
+
+Windows of bytes shorter than the one that is cut tell passages: where they repeat over less than
+the window, the text stays but is counted, and only where they repeat over at least the window
+can the window itself repeat, so the longer windows are sought in those regions alone.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,25 +26,30 @@ from . import repeats
 from .common import Scratch, Writer
 
 WINDOW = 400
-UNIT = repeats.Unit("byte", WINDOW, 200)
-#: Bytes of stretches in one suffix array.
+#: Bytes of a repeated passage that is counted; fifty words and more of most languages.
+PASSAGE = 240
+#: Words of a passage that ``without_passages`` cuts.
+PASSAGE_WORDS = 50
+#: Symbols of stretches in one suffix array.
 SHARD = 400_000
 #: Pairs that are compared at a time.
 PAIRS = 8192
 
 
 def suffix_array(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(sa, rank)``: suffixes sorted by their first ``depth`` bytes; equal ones share a rank.
+    """``(sa, rank)``: suffixes sorted by their first ``depth`` symbols; equal ones share a rank.
 
-    ``room`` is the number of bytes from each position to the end of its stretch. Suffixes
-    that end before the depth reached are left out of further rounds: nothing looks at them.
+    Symbols are bytes, or numbers below 2**32. ``room`` is the number of symbols from each
+    position to the end of its stretch. Suffixes that end before the depth reached are left out
+    of further rounds: nothing looks at them.
     """
     n = len(text)
-    packed = np.zeros(n + 8, np.uint64)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    for k in range(8):
-        packed[:n] = (packed[:n] << np.uint64(8)) | padded[k : n + k]
-    at = np.flatnonzero(room >= min(8, depth))
+    start = 8 if text.dtype == np.uint8 else 2  # symbols in the first key
+    packed = np.zeros(n + start, np.uint64)
+    padded = np.concatenate((text, np.zeros(start, text.dtype))).astype(np.uint64)
+    for k in range(min(start, depth)):
+        packed[:n] = (packed[:n] << np.uint64(64 // start)) | padded[k : n + k]
+    at = np.flatnonzero(room >= min(start, depth))
     order = np.argsort(packed[at], kind="stable")
     sa = at[order]
     key = packed[sa]
@@ -55,7 +64,7 @@ def suffix_array(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.nda
 
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     open_ = np.flatnonzero(settle(sa, new, np.arange(len(sa))))
-    h = 8
+    h = start
     while h < depth and len(open_):
         step = min(h, depth - h)
         reach = h + step
@@ -91,7 +100,7 @@ def kasai(text: np.ndarray, room: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     limit = np.minimum(room[x], room[y])
     length = np.zeros(len(start), np.int64)
     live = np.arange(len(start))
-    padded = np.concatenate((text, np.zeros(64, np.uint8)))
+    padded = np.concatenate((text, np.zeros(64, text.dtype)))
     cols = np.arange(64)
     while len(live):
         own, live = live[:PAIRS], live[PAIRS:]
@@ -117,9 +126,9 @@ def _direct(text: np.ndarray, room: np.ndarray, i: int, j: int) -> int:
     return int(d[0]) if len(d) else m
 
 
-def repeated_windows(parts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(parts: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(hit, starts, rank)`` over the joined parts: windows that occur at least twice in them."""
-    text = np.frombuffer(b"".join(parts), np.uint8)
+    text = np.concatenate(parts)
     size = np.array([len(p) for p in parts])
     ends = np.cumsum(size)
     room = np.repeat(ends, size) - np.arange(len(text))
@@ -135,8 +144,17 @@ def repeated_windows(parts: list[bytes], window: int) -> tuple[np.ndarray, np.nd
     return hit, ends - size, rank
 
 
-_HIT = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("windows", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("salt", pa.int32()), ("open", pa.binary())])
-HIT = "gram long, digest binary, windows array<struct<a:long,b:long>>, salt int, open binary"
+def symbols(texts: list[bytes], unit: repeats.Unit) -> tuple[list[np.ndarray], np.ndarray]:
+    """The symbols of each stretch, exact within the list, and the hash of each symbol."""
+    if unit.name == "byte":
+        return [np.frombuffer(t, np.uint8) for t in texts], repeats._TABLE
+    known: dict[bytes, int] = {}
+    parts = [np.array([known.setdefault(w, len(known)) for w in t.split(b" ")], np.uint32) for t in texts]
+    return parts, repeats.word_symbols(list(known))
+
+
+_HIT = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("windows", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("open", pa.binary()), ("at", pa.binary())])
+HIT = "gram long, digest binary, windows array<struct<a:long,b:long>>, open binary, at binary"
 
 
 def runs_of(flags: np.ndarray) -> list[dict]:
@@ -145,37 +163,40 @@ def runs_of(flags: np.ndarray) -> list[dict]:
     return [{"a": a, "b": b - 1} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def _shards(window: int):
+def _shards(unit: repeats.Unit, shard: int):
+    window = unit.window
+    per = 1 if unit.name == "byte" else 6  # bytes of a symbol, about
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            hit, starts, rank = repeated_windows([r[4] for r in rows], window)
+            parts, hashes = symbols([r[4] for r in rows], unit)
+            hit, starts, rank = repeated_windows(parts, window)
             out = Writer(_HIT)
-            sent: set[int] = set()
-            for (gram, digest, n, salt, text, split), s in zip(rows, starts.tolist()):
-                m = len(text) - window + 1
+            sent = np.zeros(len(rank), bool)  # classes of equal windows that are handed on already
+            for (gram, digest, n, _, _, split), own, s in zip(rows, parts, starts.tolist()):
+                m = len(own) - window + 1
                 flags = hit[s : s + m] if n == 1 else np.ones(m, bool)
-                open_ = None
-                if split:  # one digest a distinct window of this shard, for the other shards
-                    own = []
-                    for k in range(m):
-                        r = int(rank[s + k]) if hit[s + k] else -1
-                        if r >= 0 and r in sent:
-                            own.append(b"\0" * 16)
-                            continue
-                        sent.add(r)
-                        own.append(hashlib.blake2b(text[k : k + window], digest_size=16).digest())
-                    open_ = b"".join(own)
+                open_ = at = None
+                if split:  # the hash of each distinct window of this shard, for the other shards
+                    k = np.arange(m)
+                    twin = hit[s : s + m]
+                    k = k[~(twin & sent[rank[s : s + m]])]
+                    first = np.unique(np.where(twin[k], rank[s + k], -1 - k), return_index=True)[1]
+                    k = np.sort(k[first])
+                    sent[rank[s + k[twin[k]]]] = True
+                    a, b = repeats.rolling_pair(hashes[own], window)
+                    open_, at = np.stack((a[k], b[k]), axis=1).astype(">u8").tobytes(), k.astype("<i8").tobytes()
                 found = runs_of(flags)
                 if found or split:
-                    out.add(gram, digest, found, salt, open_)
+                    out.add(gram, digest, found, open_, at)
             return out.flush()
 
         last = None
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in ("gram", "digest", "n", "salt", "text", "split"))):
-                if size >= SHARD and (row[0], row[3]) != last:
+                if size >= shard * per and (row[0], row[3]) != last:
                     yield solve(rows)
                     rows, size = [], 0
                 last = (row[0], row[3])
@@ -187,43 +208,35 @@ def _shards(window: int):
     return run
 
 
-_OPEN = pa.schema([("d", pa.binary()), ("gram", pa.int64()), ("digest", pa.binary()), ("salt", pa.int32()), ("k", pa.int64())])
-
-
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Writer(_OPEN)
     for batch in batches:
-        for gram, digest, salt, own in zip(*(batch.column(k).to_pylist() for k in ("gram", "digest", "salt", "open"))):
-            for k in range(len(own) // 16):
-                d = own[16 * k : 16 * k + 16]
-                if d != b"\0" * 16 and out.add(d, gram, digest, salt, k):
-                    yield out.flush()
-    if len(out):
-        yield out.flush()
-
-
-_MET = pa.schema([("gram", pa.int64()), ("digest", pa.binary()), ("k", pa.int64()), ("salt", pa.int32())])
+        for gram, digest, own, at in zip(*(batch.column(k).to_pylist() for k in ("gram", "digest", "open", "at"))):
+            k = np.frombuffer(at, "<i8")
+            d = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(own)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([d, pa.array([gram] * len(k), pa.int64()), pa.array([digest] * len(k), pa.binary()), pa.array(k)], names=["d", "gram", "digest", "k"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that two shards hold; the rows of a partition come sorted by digest."""
+    """Windows that two shards hold; the rows of a partition come sorted by their hash."""
     held = None
+
+    def shared(table: pa.Table, d: np.ndarray) -> list[pa.RecordBatch]:
+        many = np.searchsorted(d, d, "right") - np.searchsorted(d, d, "left") > 1
+        return table.filter(pa.array(many)).select(["gram", "digest", "k"]).combine_chunks().to_batches()
+
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table])
-        d = np.array(table.column("d").to_pylist(), "S16") if table.num_rows else np.zeros(0, "S16")
-        if not len(d):
+        if not table.num_rows:
             continue
-        cut = int(np.searchsorted(d, d[-1], "left"))
-        for a, b in ((0, cut),):
-            part = d[a:b]
-            many = np.searchsorted(part, part, "right") - np.searchsorted(part, part, "left") > 1
-            done = table.slice(a, b - a).filter(pa.array(many)).select(["gram", "digest", "k", "salt"]).combine_chunks()
-            yield from done.to_batches()
+        d = np.array(table.column("d").to_pylist(), "V16").view(">u8").reshape(-1, 2)
+        d = np.unique(d, axis=0, return_inverse=True)[1].ravel()  # ranks keep the order
+        cut = int(np.searchsorted(d, d[-1], "left"))  # the last hash may go on in the next batch
+        yield from shared(table.slice(0, cut), d[:cut])
         held = table.slice(cut)
     if held is not None and held.num_rows > 1:
-        yield from held.select(["gram", "digest", "k", "salt"]).combine_chunks().to_batches()
+        yield from held.select(["gram", "digest", "k"]).combine_chunks().to_batches()
 
 
 def hits(scratch: Scratch, found: DataFrame, unit: repeats.Unit, shard: int | None = None) -> DataFrame:
@@ -234,29 +247,82 @@ def hits(scratch: Scratch, found: DataFrame, unit: repeats.Unit, shard: int | No
     large = weight.select("gram", F.ceil(F.col("total") / shard).cast("int").alias("salts"))
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("digest"), F.col("salts"))).cast("int")
     dealt = apart.join(large, "gram", "left").select("gram", "digest", "n", salt.alias("salt"), "text", F.col("salts").isNotNull().alias("split"))
-    made = scratch.keep(dealt.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "digest").mapInArrow(_shards(unit.window), HIT))
+    made = scratch.keep(dealt.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "digest").mapInArrow(_shards(unit, shard), HIT))
     wide = made.where(F.col("open").isNotNull())
-    opened = wide.mapInArrow(_opened, "d binary, gram long, digest binary, salt int, k long").repartition("d").sortWithinPartitions("d")
-    met = opened.mapInArrow(_merged, "gram long, digest binary, k long, salt int")
+    opened = wide.mapInArrow(_opened, "d binary, gram long, digest binary, k long").repartition("d").sortWithinPartitions("d")
+    met = opened.mapInArrow(_merged, "gram long, digest binary, k long")
     # What a shard marked by one window of a class holds for the class: its twins repeat anyway.
     extra = met.select("gram", "digest", F.array(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("windows"))
     scratch.drop(apart)
     return made.where(F.size("windows") > 0).select("gram", "digest", "windows").unionByName(extra)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+_REGION = pa.schema([("own_id", pa.int64()), ("own_key", pa.int64()), ("start", pa.int64()), ("n_passage", pa.int64()), ("text", pa.binary())])
+
+
+def _regions(window: int):
+    """Regions that passages cover over at least ``window`` bytes, and a row without text that
+    tells how many bytes of the document passages cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Writer(_REGION)
+        for batch in batches:
+            for doc, key, data, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "data", "spans"))):
+                merged = repeats.merge_spans(own)
+                out.add(doc, key, None, sum(b - a for a, b in merged), None)
+                for a, b in merged:
+                    if b - a >= window and out.add(doc, key, a, None, data[a:b], nbytes=b - a):
+                        yield out.flush()
+                if len(out) >= out.rows:
+                    yield out.flush()
+        if len(out):
+            yield out.flush()
+
+    return run
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """Digest of what is left of every row of ``docs(doc_id, text)``.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A byte goes if a ``window``-byte
-    string that covers it starts anywhere else, in the same document or another. Null texts
-    are empty; repeated rows count as occurrences of their own; a null ``doc_id`` stays null;
-    an empty table gives no rows; texts shorter than the window lose nothing.
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage. A byte goes if a
+    ``window``-byte string that covers it starts anywhere else, in the same document or another.
+    ``n_passage`` counts the bytes covered by a string of ``passage`` (at most ``window``) bytes
+    that starts anywhere else; those that the longer window does not cover stay in the text.
+    Null texts are empty; repeated rows count as occurrences of their own; a null ``doc_id``
+    stays null; an empty table gives no rows; texts shorter than the window lose nothing, very
+    long ones are worked on in stretches; other columns are ignored, whatever their names.
     """
+    passage = min(passage, window)
     scratch = Scratch(spark)
-    unit = repeats.Unit("byte", window, window // 2)
-    return repeats.outcome(scratch, docs, unit, hits).withColumnRenamed("n", "n_bytes")
+    unit = repeats.Unit("byte", passage, passage // 2)
+    own = repeats.candidates(scratch, docs, unit)
+    place = scratch.keep(repeats.spans(own.found, hits(scratch, own.found, unit), unit))
+    scratch.drop(own.found)
+    joined = own.docs.join(place.hint("shuffle_hash"), own.docs["doc_id"].eqNullSafe(place["doc_id"]) & (own.docs["key"] == place["key"]))
+    made = joined.select(own.docs["doc_id"], own.docs["key"], "data", "spans").mapInArrow(_regions(window), "own_id long, own_key long, start long, n_passage long, text binary")
+    made = scratch.keep(made.withColumn("doc_id", F.monotonically_increasing_id()))
+    regions = made.where("start is not null")
+    longer = repeats.Unit("byte", window, window // 2)
+    inner = repeats.candidates(scratch, regions, longer)
+    part = repeats.spans(inner.found, hits(scratch, inner.found, longer), longer).select("doc_id", "spans")
+    every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    double = inner.info.join(inner.copies, "sha").select("doc_id", every.alias("spans"))
+    found = regions.join(part.unionByName(double), "doc_id").select(F.col("own_id").alias("doc_id"), F.col("own_key").alias("key"), F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
+    found = found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    count = made.where("start is null").select(F.col("own_id").alias("doc_id"), F.col("own_key").alias("key"), F.col("n_passage").alias("n_some"))
+    out = repeats.outcome_of(scratch, longer, own, found, count).withColumnRenamed("n", "n_bytes")
+    n_passage = F.when((F.col("copies") > 1) & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_some", F.lit(0).cast("long")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", n_passage.alias("n_passage"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``; a cut character goes entirely."""
+    """``docs`` with the repeated bytes cut out of ``text``; a cut character goes entirely.
+    Nulls, repeated rows and other columns: see ``repeats.removed``."""
     return repeats.removed(spark, docs, repeats.Unit("byte", window, window // 2), hits)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with every passage of ``words`` words or more that stands anywhere else cut out
+    of ``text``; the suffix arrays are those of the texts' words. What stays keeps its lines and
+    spaces. Nulls, repeated rows and other columns: see ``repeats.removed``."""
+    return repeats.removed(spark, docs, repeats.Unit("word", words, words // 2), hits)

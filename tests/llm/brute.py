@@ -57,6 +57,33 @@ def op4(rows, window=35):
     return out
 
 
+def longest_paths(rows, window=35):
+    """By distinct word sequence: edges of the longest unbranched path of repeated windows that it touches."""
+    texts = {tuple(words_of(t)) for _, t in rows}
+    grams = {w: [w[i : i + window] for i in range(len(w) - window + 1)] for w in texts}
+    seen = Counter(g for own in grams.values() for g in own)
+    edges = {g for g, n in seen.items() if n > 1}
+    out, into = {}, {}
+    for g in edges:
+        out.setdefault(g[:-1], []).append(g)
+        into.setdefault(g[1:], []).append(g)
+    after = {into[n][0]: out[n][0] for n in out if len(out[n]) == 1 and len(into.get(n, ())) == 1 and out[n] != into[n]}
+    before = {b: a for a, b in after.items()}
+    size = {}
+    for g in edges:
+        if g not in size:
+            path, x = [g], g
+            while x in after and after[x] != g:
+                x = after[x]
+                path.append(x)
+            x = g
+            while x in before and len(set(path)) == len(path) and before[x] not in path[:1] and before[x] not in path:
+                x = before[x]
+                path.append(x)
+            size |= dict.fromkeys(path, len(path))
+    return {w: max((size[g] for g in own if g in edges), default=None) for w, own in grams.items()}
+
+
 def simhash(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = words_of(low)
@@ -67,6 +94,34 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def five_words(text):
+    w = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_firsts(rows, similarity=0.8):
+    """The rows that stay of components of texts with similar sets of five-word shingles."""
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or 5 * both >= 5 * similarity * (len(a) + len(sets[j]) - both) - 1e-9:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, t) in enumerate(rows):
+        r = find(i)
+        if r not in least or (d is None, d or 0) < (least[r][0] is None, least[r][0] or 0):
+            least[r] = (d, t)
+    return list(least.values())
+
+
 def op1(rows):
     fps = [simhash(t) for _, t in rows]
     root = list(range(len(rows)))
