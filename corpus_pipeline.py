@@ -18,13 +18,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the least doc_id."""
+    """One document of each component of near copies (five-word shingles, Jaccard similarity of
+    0.8 or more) stays, the one with the least doc_id."""
     return simhash.keep_one(spark, docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that starts anywhere else are cut out of the text."""
-    return suffix.without_repeats(spark, docs)
+    """Words covered by a passage of 50 words that starts anywhere else are cut out of the text."""
+    return suffix.without_passages(spark, docs)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Fingerprints, components and token ids are beyond SQL; tests hold run() against plain Python.
+#: Shingle sets, components and token ids are beyond SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
