@@ -152,55 +152,81 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).mapInArrow(cut, schema)
 
 
-def plan(counts: dict[int, int], tokens: int = TOKENS, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
+#: Weights of the residuals of tokens, documents and attention cost in the choice of a sequence.
+WEIGHTS = (1.0, 0.01, 0.01)
+
+
+def _levels(used: np.ndarray, limits: np.ndarray, binding: np.ndarray) -> tuple[float, float, float]:
+    """What a sequence has used, as its class counts it. Tokens are exact. The other two are
+    rounded, so that the number of classes doesn't grow with the number of documents: up where
+    they bind (documents beyond 16 to a multiple of 16, cost to a 64th of its limit), which keeps
+    to the limit; else to one of a few levels, as tokens alone decide what fits."""
+    docs, cost = used[1], used[2]
+    if binding[1]:
+        docs = docs if docs <= 16 else -(-docs // 16) * 16
+    else:
+        docs = min(docs, 4.0)
+    step = limits[2] / (64 if binding[2] else 8)
+    cost = (np.ceil if binding[2] else np.floor)(round(cost / step, 9)) * step
+    return float(used[0]), float(docs), float(cost)
+
+
+def plan(counts: dict[int, int], tokens: int = TOKENS, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """Runs ``(length, first rank, sequence, offset)`` that place ``counts`` pieces by length.
 
-    Limits of a sequence: ``tokens``; ``max_docs`` pieces; ``max_cost``, the sum of squared
-    lengths (attention). None leaves the last two where tokens alone bind. ``rule`` is
-    ``norm`` (least weighted residual norm) or ``dot`` (largest weighted dot product of
-    residual and demand). A piece that alone exceeds ``max_cost`` still gets its own sequence.
+    Capacities of a sequence: ``tokens``; ``max_docs`` pieces; ``max_cost``, the sum of squared
+    lengths (attention). None is as much as ``tokens`` tokens can need: ``tokens`` pieces, and
+    ``tokens`` squared. All three residuals, each as a share of its capacity, choose the sequence:
+    by ``norm`` (least weighted norm of what would be left) or ``dot`` (largest weighted dot
+    product of residual and demand), the fuller one in a tie. A piece that alone exceeds
+    ``max_cost`` still gets its own sequence.
     """
     limits = np.array([tokens, max_docs or tokens, max_cost or tokens * tokens], float)
     binding = np.array([True, max_docs is not None, max_cost is not None])  # the others hold wherever tokens do
     w = np.array(weights) / limits**2
-    state = np.zeros((0, 3))  # residuals of each class of open sequences
-    classes: list[list[tuple[int, int]]] = []  # runs of sequences (first, number) in it
+    classes: list[list[tuple[int, int]]] = []  # runs of sequences (first, number) in each class
     at: dict[tuple, int] = {}
+    room = np.zeros((64, 3))  # residuals of each class
+    some = np.zeros(64, bool)  # classes that are not empty
     runs, fresh = [], 0
 
-    def put(residual: np.ndarray, first: int, number: int) -> None:
-        nonlocal state
-        key = tuple(residual)
-        if key[0] <= 0 or key[1] <= 0:
+    def put(used: np.ndarray, first: int, number: int) -> None:
+        nonlocal room, some
+        if used[0] >= tokens or binding[1] and used[1] >= limits[1]:
             return
-        if key not in at:
-            at[key] = len(classes)
+        key = _levels(used, limits, binding)
+        k = at.setdefault(key, len(classes))
+        if k == len(classes):
             classes.append([])
-            state = np.vstack([state, residual])
-        classes[at[key]].append((first, number))
+            if k == len(room):
+                room, some = np.concatenate((room, np.zeros_like(room))), np.concatenate((some, np.zeros_like(some)))
+            room[k] = limits - key
+        classes[k].append((first, number))
+        some[k] = True
 
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        need = np.array([length, 1, length * length], float) * binding
+        need = np.array([length, 1, length * length], float)
+        least = np.where(binding, need, -np.inf)
         while left:
-            fits = np.flatnonzero((state >= need).all(axis=1) & np.fromiter(map(bool, classes), bool, len(classes)))
+            fits = np.flatnonzero(some & (room >= least).all(axis=1))
             if len(fits):
-                r = state[fits]
+                r = room[fits]
                 score = ((r - need) ** 2 @ w) if rule == "norm" else -(r * need @ w)
                 k = int(fits[np.lexsort((r[:, 0], score))[0]])
                 first, number = classes[k].pop()
                 take = min(left, number)
                 if take < number:
                     classes[k].append((first + take, number - take))
-                runs.append((length, rank, first, tokens - int(state[k][0])))
-                put(state[k] - need, first, take)
+                some[k] = bool(classes[k])
+                runs.append((length, rank, first, int(tokens - room[k, 0])))
+                put(limits - room[k] + need, first, take)
             else:
                 # As many sequences as the class needs, each holding as many of it as fit.
-                room = np.maximum(limits - need, 0)
                 take = max(1, -(-left // max(1, int(min(limits[binding] // need[binding])))))
                 runs.append((length, rank, fresh, 0))
-                put(room, fresh, take)
-                first, fresh = fresh, fresh + take
+                put(np.minimum(need, limits), fresh, take)
+                fresh += take
             left, rank = left - take, rank + take
     return np.array(runs, np.int64).reshape(-1, 4)
 
@@ -208,11 +234,12 @@ def plan(counts: dict[int, int], tokens: int = TOKENS, max_docs: int | None = No
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, tokens: int = TOKENS, **limits) -> DataFrame:
     """Every piece of ``docs(doc_id, text)`` with its sequence and place.
 
-    Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text counts
-    as empty and is the single id 0; repeated rows are packed as often as they occur; a null
-    ``doc_id`` stays null; an empty table gives no rows. Sequences have no gaps. What goes to
-    the driver is a histogram of at most ``tokens`` lengths by salt, and the plan sent back is
-    bounded by the number of lengths, not of documents.
+    Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``limits`` are those
+    of ``plan``. A null text counts as empty and is the single id 0; repeated rows are packed as
+    often as they occur; a null ``doc_id`` stays null; an empty table gives no rows; a very long
+    text is many pieces; other columns are ignored, whatever their names. Sequences have no gaps.
+    What goes to the driver is a histogram of at most ``tokens`` lengths, and the plan sent back
+    is bounded by the number of lengths and classes, not of documents.
     """
     scratch = Scratch(spark)
     made = scratch.keep(pieces(docs, path or tokenizer_path(), tokens))

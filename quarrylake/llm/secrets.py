@@ -9,11 +9,14 @@ letters and digits, base64 and its URL form) and tested for looking random in it
 * runs: values above and below the middle alternate as chance has them do;
 * serial correlation: neighbouring values are not correlated.
 
-A token that passes all three is a secret rather than a word if ordinary text would hardly
-produce it: the likelihood ratio of uniform to ordinary character frequencies is ``e**T``, and
-by Markov's inequality ``e**-T`` bounds the probability of so large a ratio in ordinary text of
-any length. These p-values go through Benjamini-Hochberg among tokens of about the same length,
-on a histogram of bounded size.
+The three p-values of a token are combined (Bonferroni, valid whatever their dependence), and
+Benjamini-Hochberg among tokens of about the same length dismisses those that don't look random,
+so of the dismissed tokens a share of at most ``ALPHA`` was random. One that stays is a secret
+rather than a word if ordinary text would hardly produce it: the likelihood ratio of uniform to
+ordinary character frequencies is ``e**T``, and by Markov's inequality ``e**-T`` bounds the
+probability of so large a ratio in ordinary text of any length. These p-values go through
+Benjamini-Hochberg too, at the rate ``FDR`` and by length. Both work on one histogram of bounded
+size.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more in all
 HEX = r"[0-9a-f]{16,}"
 MIN_TOKEN = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+"
-#: False-discovery rate, and the level of each uniformity test.
+#: False-discovery rates of secrets, and of tokens dismissed as not random.
 FDR, ALPHA = 0.01, 0.001
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
@@ -46,7 +49,8 @@ ALPHABETS = {
 }
 #: Rounded letter frequencies of European prose; capitals, digits and signs are rare in tokens.
 _LETTERS = dict(zip("etaonishrdlcumwfgypbvkjxqz", (120, 85, 80, 75, 72, 70, 65, 52, 62, 42, 42, 30, 29, 27, 20, 21, 20, 19, 19, 15, 11, 8, 3, 3, 2, 2)))
-STRATA, BINS = 6, 4000
+#: Strata of length, and bins of the two p-values: tenths of a power of ten.
+STRATA, BINS, FLAWS = 6, 400, 40
 
 
 def ordinary() -> dict[str, float]:
@@ -163,10 +167,12 @@ def _upper(z: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, base, tokens)``: pattern spans, and tested tokens (start, end, stratum, bin).
+    """``(doc_id, text, base, tokens)``: pattern spans, and tested tokens (start, end, stratum,
+    flaw, bin).
 
-    ``bin`` is ``10 * T / ln(10)`` cut to 0..BINS, so a token's p-value is ``10**(-bin / 10)`` at
-    most; tokens that fail a uniformity test stand in bin 0.
+    ``flaw`` is ``-10 * log10`` of the combined p-value of the battery cut to 0..FLAWS, ``bin`` is
+    ``10 * T / ln(10)`` cut to 0..BINS: a token's p-values are ``10**(-flaw / 10)`` and
+    ``10**(-bin / 10)`` at most.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return _scan_rows(rows, ["doc_id"])
@@ -190,45 +196,69 @@ def _scan_rows(rows: DataFrame, carry: list[str]) -> DataFrame:
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 F.least(F.floor(F.log2(F.length(m) / MIN_TOKEN)), F.lit(STRATA - 1)).cast("int").alias("stratum"),
-                F.when(F.least(b["p_chi"], b["p_runs"], b["p_serial"]) >= ALPHA / 3, F.least(F.greatest(F.floor(b["t"] * 10 / math.log(10)), F.lit(0)), F.lit(BINS)))
-                .otherwise(F.lit(0))
-                .cast("int")
-                .alias("bin"),
+                _tenths(-F.log10(F.greatest(3 * F.least(b["p_chi"], b["p_runs"], b["p_serial"]), F.lit(1e-9))), FLAWS).alias("flaw"),
+                _tenths(b["t"] / math.log(10), BINS).alias("bin"),
             ),
         ),
     )
     return rows.select(*carry, "text", base.alias("base"), tested.alias("tokens"))
 
 
-def thresholds(tested: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Least bin that counts as a discovery, by length stratum (Benjamini-Hochberg).
+def _tenths(x: Column, most: int) -> Column:
+    return F.least(F.greatest(F.floor(10 * x), F.lit(0)), F.lit(most)).cast("int")
 
-    The histogram has at most STRATA * (BINS + 1) rows and is made by a pre-aggregated sum.
+
+def step_up(counts: dict[int, int], total: int, rate: float) -> int | None:
+    """Benjamini-Hochberg on bins: the least bin whose members are all discoveries, if any is."""
+    found, out = 0, None
+    for b in sorted((b for b in counts if b > 0), reverse=True):
+        found += counts[b]
+        if 10 ** (-b / 10) <= rate * found / total:
+            out = b
+    return out
+
+
+def thresholds(tested: DataFrame, fdr: float = FDR, alpha: float = ALPHA) -> dict[int, tuple[int, int]]:
+    """By length stratum: the least flaw that dismisses a token, and the least bin that makes
+    one of those left a secret.
+
+    The histogram has at most STRATA * (FLAWS + 1) * (BINS + 1) rows and is made by a
+    pre-aggregated sum.
     """
-    counts = tested.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n"))
-    by: dict[int, dict[int, int]] = {}
+    counts = tested.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.flaw", "t.bin").agg(F.count(F.lit(1)).alias("n"))
+    by: dict[int, dict[tuple[int, int], int]] = {}
     for r in counts.collect():
-        by.setdefault(r["stratum"], {})[r["bin"]] = r["n"]
+        by.setdefault(r["stratum"], {})[r["flaw"], r["bin"]] = r["n"]
     out = {}
-    for stratum, bins in by.items():
-        total, found = sum(bins.values()), 0
-        for b in sorted((b for b in bins if b > 0), reverse=True):
-            found += bins[b]
-            if 10 ** (-b / 10) <= fdr * found / total:
-                out[stratum] = b
+    for stratum, cells in by.items():
+        total = sum(cells.values())
+        flaws: dict[int, int] = {}
+        for (flaw, _), n in cells.items():
+            flaws[flaw] = flaws.get(flaw, 0) + n
+        dismissed = step_up(flaws, total, alpha)
+        dismissed = FLAWS + 1 if dismissed is None else dismissed
+        bins: dict[int, int] = {}
+        for (flaw, b), n in cells.items():
+            if flaw < dismissed:
+                bins[b] = bins.get(b, 0) + n
+        least = step_up(bins, total, fdr)
+        if least is not None:
+            out[stratum] = dismissed, least
     return out
 
 
-def _found(limits: dict[int, int]) -> Column:
+def _found(limits: dict[int, tuple[int, int]]) -> Column:
     """Base spans and discoveries that overlap none of them, in order."""
-    table = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else None
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    if table is None:
+    if not limits:
         return F.col("base")
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    flaw, least = (F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[i])]) for i in (0, 1))
     extra = F.transform(
         F.filter(
             "tokens",
-            lambda t: (t["bin"] >= F.coalesce(table[t["stratum"]], F.lit(BINS + 1))) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+            lambda t: (t["flaw"] < F.coalesce(flaw[t["stratum"]], F.lit(0)))
+            & (t["bin"] >= F.coalesce(least[t["stratum"]], F.lit(BINS + 1)))
+            & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
         ),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(KINDS.index("random")).alias("kind")),
     )
@@ -246,7 +276,8 @@ def find_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random. Offsets are code
     points, ends exclusive. A null text is empty and has no spans; repeated rows come back
-    repeated; a null ``doc_id`` stays null; an empty table gives no rows.
+    repeated; a null ``doc_id`` stays null; an empty table gives no rows; a token of any length is
+    one array of its characters in its row; other columns are ignored, whatever their names.
     """
     scratch = Scratch(spark)
     rows = scratch.keep(scan(docs).drop("text"))
@@ -264,7 +295,8 @@ def find_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; other columns pass through,
-    ``n_chars`` counted anew. Overlapping spans become one mark; a null text stays null."""
+    whatever their names, ``n_chars`` counted anew. Overlapping spans become one mark; a null text
+    stays null; repeated rows come back repeated; an empty table gives no rows."""
     scratch = Scratch(spark)
     limits = thresholds(scratch.keep(scan(docs).select("tokens").where(F.size("tokens") > 0)))
     held = docs.select(F.struct(*docs.columns).alias("row"), docs["text"].isNotNull().alias("had"), F.coalesce("text", F.lit("")).alias("text"))

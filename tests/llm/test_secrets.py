@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -66,6 +67,70 @@ def test_random_tokens(spark):
     assert all(got[i]["n_random"] == 0 for i in (400, 401, 402))
 
 
+def battery(token):
+    """The combined p-value of the three uniformity tests and the log-likelihood ratio, by their definitions."""
+    sign = next(a for a in secrets.ALPHABETS.values() if set(token) <= set(a))
+    k, n = len(sign), len(token)
+    v = [sign.index(c) + 1 for c in token]
+    chi, df = sum((v.count(x) - n / k) ** 2 / (n / k) for x in range(1, k + 1)), k - 1
+    upper = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    p_chi = upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
+    high = [x > k / 2 for x in v]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    p_runs = p_serial = 0.0
+    if a and b:
+        sd = math.sqrt(max(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)), 1e-9))
+        p_runs = 2 * upper(abs(runs - 2 * a * b / n - 1) / sd)
+    m = sum(v) / n
+    if any(x != m for x in v):
+        r = sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / sum((x - m) ** 2 for x in v)
+        p_serial = 2 * upper(abs(r + 1 / n) * math.sqrt(n))
+    q = secrets.ordinary()
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial)), -sum(math.log(q[c]) for c in token) - n * math.log(k)
+
+
+def discoveries(p, rate):
+    """Indices that Benjamini-Hochberg rejects among p-values of one family."""
+    order = sorted(range(len(p)), key=p.__getitem__)
+    last = max((k for k, i in enumerate(order, 1) if p[i] <= rate * k / len(p)), default=0)
+    return {i for i in range(len(p)) if last and p[i] <= p[order[last - 1]]}
+
+
+def test_random_spans_match_brute_force(spark):
+    """The spans that the built-in functions find are those of plain Python, by length."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(250):
+        kind = rng.choice(list(secrets.ALPHABETS))
+        n = rng.choice((20, 26, 45, 90, 200))
+        token = "".join(rng.choice(secrets.ALPHABETS[kind]) for _ in range(n)) if i % 3 else "".join(rng.choice(["thing", "An", "der", "7", "tion_", "zz"]) for _ in range(n))[:n]
+        rows.append((i, f"so {token} it é"))
+    rows += [(300, "x " + "ab" * 30), (301, "0123456789" * 6), (302, "Z" * 70)]
+    own = []
+    for d, t in rows:
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t):
+            p, ratio = battery(m[0])
+            stratum = min(int(math.log2(len(m[0]) / 20) + 1e-12), 5)
+            # p-values count in tenths of a power of ten, as rounded up
+            own.append((d, m.start(), m.end(), stratum, min(int(-10 * math.log10(max(p, 1e-9))), 40), min(max(math.floor(10 * ratio / math.log(10)), 0), 400)))
+    want = {}
+    for stratum in range(6):
+        part = [x for x in own if x[3] == stratum]
+        gone = discoveries([10 ** (-x[4] / 10) for x in part], 0.001)
+        # those dismissed stay in the family, as no discovery
+        found = discoveries([1.0 if k in gone else 10 ** (-x[5] / 10) for k, x in enumerate(part)], 0.01)
+        for k in found:
+            want.setdefault(part[k][0], []).append(part[k][1:3])
+    got = {}
+    for r in secrets.find_secrets(spark, frame(spark, rows)).collect():
+        base_ = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x and not x.startswith("random")]
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")]
+        got[r["doc_id"]] = spans
+        want[r["doc_id"]] = [w for w in want.get(r["doc_id"], []) if not any(a < w[1] and w[0] < b for a, b in base_)]
+    assert got == want and sum(map(len, got.values())) > 60
+
+
 def test_redact(spark):
     rows = [(1, 'é token = "0123456789abcdef0123" end'), (2, "clean"), (3, None)]
     out = secrets.redact(spark, frame(spark, rows))
