@@ -13,6 +13,7 @@ from ..functions import serde
 from ..functions.types import LAST_SEQ, LAST_SEQ_NAME, ROW_ID, ROW_ID_NAME, sanitize, struct, to_spark
 from ..sources import manifests, metadata as md
 from ..sources.fileio import canonical
+from ..sources.fileio import spark_path as _clean_path
 from .prune import Pruner
 
 PATH, POS, SEQ, FIRST, ORDINAL, TUPLE = "__path", "__pos", "__seq", "__first", "__ordinal", "__tuple"
@@ -46,12 +47,19 @@ class Plan:
         return [e["data_file"]["file_path"] for e in self.data]
 
 
-def plan(io, meta: dict, snapshot_id: int | None = None, predicate=True, schema: dict | None = None) -> Plan:
+def plan(io, meta: dict, snapshot_id: int | None = None, predicate=True, schema: dict | None = None, spark: SparkSession | None = None) -> Plan:
+    """Files of a snapshot that can hold rows for which the predicate is true. Manifests whose
+    summaries rule them out are not read; ``total`` counts the files of the others too, as far as
+    the list tells."""
     snap = md.snapshot(meta, snapshot_id)
     schema = schema or md.snapshot_schema(meta, snap if snapshot_id is not None else None)
-    data, deletes = manifests.live(io, snap)
-    kept = data if predicate is True else [e for e in data if Pruner(meta, schema).keeps(e, predicate)]
-    return Plan(meta, schema, kept, deletes, len(data))
+    if predicate is True:
+        data, deletes = manifests.live(io, snap, spark)
+        return Plan(meta, schema, data, deletes, len(data))
+    pruner = Pruner(meta, schema)
+    total = sum((r.get("added_files_count") or 0) + (r.get("existing_files_count") or 0) for r in manifests.read_list(io, snap) if not r["content"])
+    data, deletes = manifests.live(io, snap, spark, lambda row: pruner.keeps_manifest(row, predicate), lambda e: pruner.keeps(e, predicate))
+    return Plan(meta, schema, data, deletes, max(total, len(data)))
 
 
 def count_from_metadata(io, meta: dict, snapshot_id: int | None = None) -> int | None:
@@ -160,12 +168,6 @@ def _group_key(entry: dict, footers: Footers, fields: list[dict], mapping: dict,
     return has_ids, tuple(out)
 
 
-def _clean_path(c: Column) -> Column:
-    """Spark's file path in the spelling of fileio.canonical()."""
-    plain = F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(plain, "^file:/+", "file:///")
-
-
 def frame(spark: SparkSession, p: Plan, io=None, lineage: bool = False, positions: bool = False, delete_rows: bool = True) -> DataFrame:
     """The rows of a plan. ``lineage`` adds row ids and last-change numbers, ``positions`` the
     file path, row index and file ordinal of each row."""
@@ -289,13 +291,12 @@ def _without_deleted(spark, p: Plan, df: DataFrame, lists: list[list[dict]]) ->
     for ids, own in equal.items():
         names = [known[i]["name"] for i in ids]
         there = {f["id"]: f["name"] for f in p.schema["fields"]}
-        gone = None
-        for d in own:
-            own_schema = struct([known[i] | {"name": f"__e{i}", "required": False} for i in ids])
-            part = spark.read.schema(own_schema).parquet(canonical(d["data_file"]["file_path"]))
-            tuple_ = F.lit(repr(manifests.tuple_key(d)) if d["data_file"]["partition"] else None).cast("string")
-            part = part.select(*[f"__e{i}" for i in ids], F.lit(d["sequence_number"]).cast("long").alias("__dseq"), tuple_.alias("__dtuple"))
-            gone = part if gone is None else gone.unionAll(part)
+        own_schema = struct([known[i] | {"name": f"__e{i}", "required": False} for i in ids])
+        part = spark.read.schema(own_schema).parquet(*[canonical(d["data_file"]["file_path"]) for d in own])
+        part = part.select(*[f"__e{i}" for i in ids], _clean_path(F.col("_metadata.file_path")).alias("__dfile"))
+        rows = [(canonical(d["data_file"]["file_path"]), d["sequence_number"], repr(manifests.tuple_key(d)) if d["data_file"]["partition"] else None) for d in own]
+        consts = spark.createDataFrame(rows, "__dfile string, __dseq long, __dtuple string")
+        gone = part.join(F.broadcast(consts) if len(rows) <= BROADCAST_FILES else consts, "__dfile").drop("__dfile")
         if any(i not in there for i in ids):
             raise ValueError(f"equality delete on columns {names} that the schema no longer has")
         match = (df[SEQ] < gone["__dseq"]) & (gone["__dtuple"].isNull() | (gone["__dtuple"] == df[TUPLE]))

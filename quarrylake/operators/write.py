@@ -32,6 +32,7 @@ class Staged:
     entries: list[dict]
     paths: list[str] = field(default_factory=list)
     rows: int = 0
+    first_id: int | None = None  # the least stored row id, if every row has one
 
 
 def aligned(df: DataFrame, schema: dict) -> DataFrame:
@@ -135,20 +136,21 @@ def stage_data(spark: SparkSession, io, location: str, meta: dict, df: DataFrame
         writer = writer.partitionBy("__pt")
     try:
         writer.parquet(canonical(staging))
-        entries = _collect(spark, io, location, staging, meta, fields, tuple_cols, target, order["order-id"] if sorts else 0)
+        entries, first_id = _collect(spark, io, location, staging, meta, fields, tuple_cols, target, order["order-id"] if sorts else 0)
     except BaseException:
         io.delete(staging)
         raise
     io.delete(staging)
-    return Staged(entries, [e["data_file"]["file_path"] for e in entries], sum(e["data_file"]["record_count"] for e in entries))
+    return Staged(entries, [e["data_file"]["file_path"] for e in entries], sum(e["data_file"]["record_count"] for e in entries), first_id)
 
 
 def _bounded(f: dict) -> bool:
     return not isinstance(f["type"], dict) and kind(f["type"]) not in NO_BOUNDS
 
 
-def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[dict], tuple_cols: list, target: T.StructType, order_id: int) -> list[dict]:
-    """Statistics and tuples of the staged files, one row a file; then the files move."""
+def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[dict], tuple_cols: list, target: T.StructType, order_id: int) -> tuple[list[dict], int | None]:
+    """Statistics and tuples of the staged files, one row a file; then the files move. The least
+    stored row id comes second, if every row has one."""
     staged = spark.read.schema(target).parquet(canonical(staging))
     aggs = [F.count(F.lit(1)).alias("n")]
     for f in fields:
@@ -171,6 +173,9 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
         aggs += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"u{i}")]
     for k, (_, c, t) in enumerate(tuple_cols):
         aggs += [F.min(c).alias(f"t{k}"), F.max(c).alias(f"x{k}"), F.count(c).alias(f"tc{k}")]
+    lineage = ROW_ID_NAME in target.names
+    if lineage:
+        aggs += [F.count(ROW_ID_NAME).alias("ids"), F.min(ROW_ID_NAME).alias("first_id")]
     rows = staged.groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size")).agg(*aggs).collect()
     out = []
     for r in sorted(rows, key=lambda r: r["p"]):
@@ -209,7 +214,8 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
                 },
             }
         )
-    return out
+    whole = lineage and rows and all(r["ids"] == r["n"] for r in rows)
+    return out, min(r["first_id"] for r in rows) if whole else None
 
 
 def _bound(v, t: str, upper: bool):

@@ -247,10 +247,74 @@ def transaction(spark, sf_dir):
     return t.delete_where("o_orderkey <= 100").read(columns=["o_orderkey", "o_custkey"])
 
 
-@register("SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation WHERE n_name < 'K'")
+@register("SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation WHERE n_name < 'NATION_2'")
 def schema_rename(spark, sf_dir):
     t = made(spark, sf_dir, "nation")
-    return t.rename_column("n_nationkey", "id").rename_column("n_name", "name").read("name < 'K'")
+    return t.rename_column("n_nationkey", "id").rename_column("n_name", "name").read("name < 'NATION_2'")
+
+
+@register("SELECT o_orderkey AS o_custkey, o_custkey AS o_orderkey FROM orders WHERE o_custkey < 100")
+def sql_swapped_names(spark, sf_dir):
+    """A filter above a projection that swaps two columns' names prunes by neither."""
+    t = made(spark, sf_dir, "orders", split=["o_orderkey <= 3000", "o_orderkey > 3000 and o_orderkey <= 9000", "o_orderkey > 9000"])
+    text = "SELECT o_custkey, o_orderkey FROM (SELECT o_orderkey AS o_custkey, o_custkey AS o_orderkey, rand() AS r FROM orders) x WHERE o_orderkey < 100 AND r >= 0"
+    return query(spark, text, {"orders": t})
+
+
+@register("SELECT a.n_name AS low, b.r_name AS high FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey UNION ALL SELECT s.s_name, r.r_name FROM supplier s CROSS JOIN region r WHERE s.s_suppkey < 3")
+def join_theta(spark, sf_dir):
+    text = "SELECT a.n_name low, b.r_name high FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey UNION ALL SELECT s.s_name, r.r_name FROM supplier s CROSS JOIN region r WHERE s.s_suppkey < 3"
+    return _sql(spark, sf_dir, text, "nation", "region", "supplier")
+
+
+@register("SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) UNION ALL SELECT l_returnflag, l_linestatus, count(*) FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus) UNION ALL SELECT l_returnflag, l_linestatus, count(*) FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+def agg_grouping_sets(spark, sf_dir):
+    one = "SELECT l_returnflag f, l_linestatus s, count(*) n FROM lineitem GROUP BY "
+    text = f"{one} ROLLUP (l_returnflag, l_linestatus) UNION ALL {one} CUBE (l_returnflag, l_linestatus) UNION ALL {one} GROUPING SETS ((l_returnflag), (l_linestatus))"
+    return _sql(spark, sf_dir, text, "lineitem")
+
+
+@register("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind FROM events WHERE event_id % 5 = 0 OR event_type = 'click'")
+def null_partition(spark, sf_dir):
+    """Identity partitions, one of them null: read by value and by IS NULL, other files unopened."""
+    df = source(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("kind"))
+    t = FileCatalog(spark, warehouse(spark)).create_table("events", schema_from(df.schema), [{"source": "kind", "transform": "identity"}]).append(df)
+    parts = [t.read(where) for where in ("kind is null", "kind = 'click'")]
+    if any(len(t.plan(where).data) >= t.plan(where).total for where in ("kind is null", "kind = 'click'")):
+        raise AssertionError("partitions did not prune")
+    return parts[0].unionByName(parts[1])
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey <= 3000")
+def metadata_file_travel(spark, sf_dir):
+    catalog = FileCatalog(spark, warehouse(spark))
+    df = source(spark, sf_dir, "orders").select("o_orderkey")
+    t = catalog.create_table("orders", schema_from(df.schema)).append(df.where("o_orderkey <= 3000"))
+    then = t.name
+    t.append(df.where("o_orderkey > 3000"))
+    return catalog.load_table("orders", then).read()
+
+
+@register("SELECT c_name, 'given' AS origin FROM customer WHERE c_custkey < 20 UNION ALL SELECT n_name, 'catalog' FROM nation")
+def dotted_names(spark, sf_dir):
+    """Quoted names of a namespace; a given table goes before one of the catalog."""
+    catalog = FileCatalog(spark, warehouse(spark))
+    for name in ("nation", "customer"):
+        df = source(spark, sf_dir, name)
+        catalog.create_table(f"ns.{name}", schema_from(df.schema)).append(df)
+    text = """SELECT c_name, 'given' origin FROM "ns.customer" UNION ALL SELECT n_name, 'catalog' FROM "ns.nation" """
+    return query(spark, text, {"ns.customer": source(spark, sf_dir, "customer").where("c_custkey < 20")}, catalog)
+
+
+@register("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-05' AND o_orderdate < TIMESTAMP '1996-03-20'")
+def prune_manifests(spark, sf_dir):
+    """A manifest for each year; those whose summaries rule the dates out are not read."""
+    years = ["year(o_orderdate) <= 1994", "year(o_orderdate) in (1995, 1996)", "year(o_orderdate) >= 1997"]
+    t = made(spark, sf_dir, "orders", [{"source": "o_orderdate", "transform": "month"}], split=years)
+    where = "o_orderdate >= cast('1996-03-05' as timestamp_ntz) and o_orderdate < cast('1996-03-20' as timestamp_ntz)"
+    if len(t.plan(where).data) * 10 > t.plan(where).total:
+        raise AssertionError("months did not prune")
+    return t.read(where, ["o_orderkey", "o_orderstatus"])
 
 
 @register("SELECT n_nationkey, n_name, n_regionkey, 'unknown' AS tag, CAST(NULL AS BIGINT) AS extra FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey, 'fresh', CAST(NULL AS BIGINT) FROM nation")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,16 +11,21 @@ from ..operators import scan
 from ..table import Table, combine, scan_probe
 from . import predicates
 
+#: Tables of a query whose metadata are loaded at a time.
+LOADS = 8
+
 
 def references(spark: SparkSession, text: str) -> list[str]:
     """Table names of a query, without those that its WITH clauses define."""
-    spark.conf.set("spark.sql.ansi.enabled", "true")
-    before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    keys = ("spark.sql.ansi.enabled", "spark.sql.ansi.doubleQuotedIdentifiers")
+    before = {key: spark.conf.get(key) for key in keys}
     try:
+        for key in keys:
+            spark.conf.set(key, "true")
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     finally:
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out: list[str] = []
 
     def visit(node, hidden: frozenset) -> None:
@@ -55,25 +61,25 @@ def query(spark: SparkSession, text: str, tables: dict | None = None, catalog=No
     down to it; then files are pruned by them and the query is planned over what is left.
     """
     scan.configure(spark)
-    found = {}
-    for name in references(spark, text):
-        if tables and name in tables:
-            found[name] = tables[name]
-        elif catalog is not None:
-            found[name] = catalog.load_table(name)
-        else:
-            raise ValueError(f"table {name} not found: it is not among the given tables and there is no catalog")
+    names = references(spark, text)
+    wanted = [name for name in names if not (tables and name in tables)]
+    if wanted and catalog is None:
+        raise ValueError(f"table {wanted[0]} not found: it is not among the given tables and there is no catalog")
+    # Metadata of several tables are waited for together; the first failure is the query's.
+    with ThreadPoolExecutor(LOADS) as pool:
+        loaded = dict(zip(wanted, pool.map(catalog.load_table, wanted))) if wanted else {}
+    found = {name: loaded[name] if name in loaded else tables[name] for name in names}
     # Views belong to a session of their own, so that queries don't meet each other's.
     own = spark.newSession()
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"):
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     scan.configure(own)
-    plans = {name: scan.plan(t.io, t.meta) for name, t in found.items() if isinstance(t, Table)}
+    plans = {name: scan.plan(t.io, t.meta, spark=spark) for name, t in found.items() if isinstance(t, Table)}
     trees = _conditions(own, text, plans, found) if prune else {}
     for name, t in found.items():
         if isinstance(t, Table):
-            kept = scan.plan(t.io, t.meta, predicate=trees.get(name, True))
+            kept = scan.plan(t.io, t.meta, predicate=trees.get(name, True), spark=spark)
             _view(own, name, scan.frame(own, kept, t.io))
         else:
             _view(own, name, own.table(name) if t is None else _adopt(own, t))

@@ -32,6 +32,14 @@ def canonical(path: str) -> str:
     return "file://" + bare(path) if path.startswith(("/", "file:")) else path
 
 
+def spark_path(c):
+    """A column of Spark's file paths in the same spelling."""
+    from pyspark.sql import functions as F
+
+    plain = F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:///")
+
+
 class LocalIO:
     def read(self, path: str) -> bytes:
         with open(bare(path), "rb") as f:
@@ -87,6 +95,7 @@ class HadoopIO:
 
     def __init__(self, spark):
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.gateway = spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -101,19 +110,33 @@ class HadoopIO:
             stream.close()
 
     def write(self, path: str, data: bytes, only_new: bool = False) -> None:
+        """The whole file appears at once: it is written aside and renamed; ``only_new`` raises
+        AlreadyExists if the name is taken. What a crash leaves is a file with a name of its own.
+
+        Renaming without overwriting is one step where the file system has it (HDFS). Stores whose
+        rename is a copy need a catalog service for safe commits.
+        """
         fs, p = self._at(path)
         if only_new and fs.exists(p):
             raise AlreadyExists(path)
+        aside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{os.urandom(8).hex()}.tmp")
         try:
-            stream = fs.create(p, not only_new)
-        except Exception as e:
-            if only_new and fs.exists(p):
-                raise AlreadyExists(path) from e
-            raise
-        try:
-            stream.write(bytearray(data))
+            stream = fs.create(aside, False)
+            try:
+                stream.write(bytearray(data))
+            finally:
+                stream.close()
+            how = self.jvm.org.apache.hadoop.fs.Options.Rename
+            options = self.gateway.new_array(how, 1)
+            options[0] = how.NONE if only_new else how.OVERWRITE
+            try:
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(aside, p, options)
+            except Exception as e:
+                if only_new and fs.exists(p):
+                    raise AlreadyExists(path) from e
+                raise
         finally:
-            stream.close()
+            fs.delete(aside, False)
 
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)

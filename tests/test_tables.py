@@ -450,3 +450,70 @@ def test_reload_sees_other_commits(spark, catalog):
     other.append(spark.createDataFrame([(2,)], "id long"))
     assert t.read().count() == 1 and t.refresh().read().count() == 2
     assert t.append(spark.createDataFrame([(3,)], "id long")).read().count() == 3
+
+
+def test_filters_above_projections(spark, catalog):
+    """Renames, swaps and self joins read the same with pruning and without."""
+    t = make(catalog, spark, [(k, 100 - k) for k in range(10)], "a int, b int")
+    for k in range(10, 40, 10):
+        t.append(spark.createDataFrame([(x, 100 - x) for x in range(k, k + 10)], "a int, b int").coalesce(1))
+    for text in (
+        "SELECT * FROM (SELECT a AS b, b AS a, rand() AS r FROM t) x WHERE a < 70 AND r >= 0",
+        "SELECT * FROM (SELECT a AS c, b + 1 AS a, rand() AS r FROM t) x WHERE a = 100 AND c < 5 AND r >= 0",
+        "SELECT x.a, y.a AS z FROM (SELECT a, b FROM t WHERE a < 10) x JOIN (SELECT b AS a, a AS b FROM t) y ON x.a = y.b WHERE y.a > 95",
+        "SELECT a FROM (SELECT a, b, rand() AS r FROM t) x WHERE a BETWEEN 12 AND 14 AND r >= 0",
+    ):
+        names = ("a", "b", "c", "z")
+        got, want = ([sorted(tuple(r[n] for n in names if n in r) for r in query(spark, text, {"t": t}, prune=p).collect()) for p in (True, False)])
+        assert got == want and got
+
+
+def test_manifests_are_pruned_and_decoded_by_tasks(spark, catalog, monkeypatch):
+    t = make(catalog, spark, [(0, None)], "d int, s string", spec=[{"source": "d", "transform": "truncate[10]"}, {"source": "s", "transform": "identity"}])
+    for k in range(10, 50, 10):
+        t.append(spark.createDataFrame([(k, f"s{k}"), (k + 5, None)], "d int, s string"))
+    wheres = ("d = 23", "d in (11, 48)", "s = 's30'", "s is null and d > 35", "not (d < 20)", "d < 5 or s = 's40'", "s <> 's10'")
+    read: list = []
+    true = manifests.read_entries
+    monkeypatch.setattr(manifests, "read_entries", lambda io, row: read.append(row) or true(io, row))
+    want = {}
+    for w in wheres:
+        tree = _tree(spark, t, w)
+        read.clear()
+        want[w] = sorted(scan.plan(t.io, t.meta, predicate=tree).paths)
+        pruned = len(read)
+        full = [e["data_file"]["file_path"] for e in scan.plan(t.io, t.meta).data if scan.Pruner(t.meta, t.schema).keeps(e, tree)]
+        assert want[w] == sorted(full)
+        assert pruned < 5 or w == "s <> 's10'"
+    monkeypatch.setattr(manifests, "MANY", 0)
+    monkeypatch.setattr(manifests, "read_entries", true)
+    for w in wheres[:3]:
+        plan = scan.plan(t.io, t.meta, predicate=_tree(spark, t, w), spark=spark)
+        assert sorted(plan.paths) == want[w] and plan.total == 9
+
+
+def _tree(spark, t, where):
+    from quarrylake.table import condition_tree
+
+    return condition_tree(spark, scan.plan(t.io, t.meta), where)
+
+
+def test_hadoop_files_appear_whole(spark, tmp_path):
+    from quarrylake.sources.fileio import HadoopIO
+
+    io, path = HadoopIO(spark), f"file://{tmp_path}/x/v1.metadata.json"
+    io.write(path, b"one", only_new=True)
+    with pytest.raises(AlreadyExists):
+        io.write(path, b"two", only_new=True)
+    assert io.read(path) == b"one" and io.list(f"file://{tmp_path}/x") == ["v1.metadata.json"]
+    io.write(path, b"three")
+    assert io.read(path) == b"three"
+
+
+def test_rewrite_takes_no_new_row_ids(spark, catalog):
+    t = make(catalog, spark, [(k,) for k in range(6)], "a int", version=3)
+    before, ids = t.meta["next-row-id"], values(t.read(lineage=True).select("a", "_row_id"))
+    t.rewrite()
+    assert t.meta["next-row-id"] == before and values(t.read(lineage=True).select("a", "_row_id")) == ids
+    t.append(spark.createDataFrame([(9,)], "a int"))
+    assert (9, before) in values(t.read(lineage=True).select("a", "_row_id"))
