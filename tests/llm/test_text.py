@@ -109,8 +109,53 @@ def test_automaton_matches_brute_force():
         want = {(e - n, e) for e, n in zip(range(1, 41), longest) if n >= 3 and (e == 40 or longest[e] != n + 1)}
         assert {(s, e) for s, e, _ in a.matches(ids, 0, 3)} == want
         for s, e, ends in a.matches(ids, 0, 3):
-            for t, last in ends.items():
-                assert seqs[t][last + 1 - (e - s) : last + 1] == ids[s:e]
+            for t, seq in enumerate(seqs):
+                places = [i + e - s - 1 for i in range(len(seq)) if seq[i : i + e - s] == ids[s:e]]
+                assert sorted(ends.get(t, [])) == places
+
+
+def test_chains_match_brute_force():
+    """The best chain to every run is that of all chains."""
+    rng = random.Random(5)
+    for _ in range(200):
+        size, words = rng.randint(10, 60), rng.randint(10, 90)
+        start, runs = 0, set()
+        for _ in range(rng.randint(1, 6)):
+            start += rng.randint(1, 20)
+            n = rng.randint(4, 9)
+            end = max(start + n, max((r[1] + 1 for r in runs), default=0))
+            for _ in range(rng.randint(1, 3)):
+                if end <= words and end - start <= size:
+                    runs.add((start, end, rng.randint(0, size - (end - start))))
+        runs = sorted(runs)
+        text, template = ([0, *(np.cumsum([rng.random() < 0.04 for _ in range(n)]).tolist())] for n in (words, size))
+        fine = lambda a, b: a[1] <= b[0] <= a[1] + licenses.MAX_GAP and a[2] + a[1] - a[0] <= b[2] and text[a[1]] == text[b[0]] and template[a[2] + a[1] - a[0]] == template[b[2]]
+
+        def best(k):
+            own = runs[k][1] - runs[k][0]
+            options = [own] if not template[runs[k][2]] else []
+            return max(options + [best(j) + own for j in range(k) if fine(runs[j], runs[k]) and best(j) > 0], default=-1)
+
+        want = sorted((best(k), r[1]) for k, r in enumerate(runs) if best(k) > 0 and template[r[2] + r[1] - r[0]] == template[size])
+        assert sorted((n, e) for n, _, e in licenses.chains(runs, text, template)) == want
+
+
+def test_licenses_are_told_apart():
+    s = licenses.Scanner()
+    labels = lambda t: s.scan(t.encode())[5]
+    notice = lambda name, v: licenses._notice(name, v)
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    assert [labels(cc.format(x)) for x in ("", "-NoDerivatives", "-ShareAlike", "-NonCommercial", "-NonCommercial-NoDerivatives")] == ["cc-by", "cc-by-nd", "cc-by-sa", "cc-by-nc", "cc-by-nc-nd"]
+    assert [labels(f"Text licensed under CC BY{x}.") for x in ("", "-SA 4.0", "-ND 4.0", "-NC-SA 4.0")] == ["cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc,cc-by-nc-sa"]
+    gpl = "General Public License"
+    assert [labels(f"Foo: {notice(n, v)}.") for n, v in ((gpl, "2"), (gpl, "3"), (gpl, "9"), (f"Lesser {gpl}", "3"), (f"Affero {gpl}", "3"))] == ["gpl-2", "gpl-3", "", "lgpl-3", "agpl-3"]
+    assert [labels(f"under the terms of the GNU {gpl} version {v}") for v in "239"] == ["gpl-2", "gpl-3", ""]
+    two, third, end = licenses._TWO, licenses._THIRD, licenses._DISCLAIMER
+    assert [labels(x) for x in (two + end, two + third + end, two + "Some other words here. " + third + end)] == ["bsd-2", "bsd-3", "bsd-3"]
+    assert labels(two + third + end + " And for the other file: " + "filler " * 40 + two + end) == "bsd-2,bsd-3"
+    assert labels("Licensed under the Apache License, Version 1.1") == ""
+    numbered = two.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    assert labels(numbered + "3. " + third + end) == "bsd-3"
 
 
 def test_language(spark):
