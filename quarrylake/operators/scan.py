@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import serde
-from ..functions.types import LAST_SEQ, LAST_SEQ_NAME, ROW_ID, ROW_ID_NAME, sanitize, struct, to_spark
+from ..functions.types import LAST_SEQ, LAST_SEQ_NAME, ROW_ID, ROW_ID_NAME, struct, to_spark
 from ..sources import manifests, metadata as md
 from ..sources.fileio import canonical
 from ..sources.fileio import spark_path as _clean_path
+from . import naming
 from .prune import Pruner
 
 PATH, POS, SEQ, FIRST, ORDINAL, TUPLE = "__path", "__pos", "__seq", "__first", "__ordinal", "__tuple"
@@ -105,8 +105,9 @@ class Footers:
         self.spark, self.meta = spark, meta
         self.snapshots = {s["snapshot-id"]: s for s in meta.get("snapshots") or []}
 
-    def columns(self, entry: dict) -> tuple[bool, dict[int, str], set[str]]:
-        """``(has ids, name by top-level id, all names)``."""
+    def columns(self, entry: dict) -> tuple[bool, dict[int, str], dict[str, T.DataType | None]]:
+        """``(has ids, name by top-level id, all names)``; names of nested columns in files without
+        ids come with the file's type."""
         path = entry["data_file"]["file_path"]
         snap = self.snapshots.get(entry["snapshot_id"])
         if path.endswith(OWN) and snap and snap.get("schema-id") is not None:
@@ -114,34 +115,29 @@ class Footers:
             if snap["summary"].get("operation") == "replace" and self.meta["format-version"] >= 3:
                 by |= {ROW_ID: ROW_ID_NAME, LAST_SEQ: LAST_SEQ_NAME}
             if "-del-" not in path:
-                return True, by, set(by.values())
+                return True, by, dict.fromkeys(by.values())
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(canonical(path))
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, conf))
         try:
-            fields = reader.getFileMetaData().getSchema().getFields()
-            by, names = {}, set()
+            message = reader.getFileMetaData().getSchema()
+            fields = message.getFields()
+            by, names, nested = {}, {}, False
             for k in range(fields.size()):
                 f = fields.get(k)
-                names.add(f.getName())
+                names[f.getName()] = None
+                nested = nested or not f.isPrimitive()
                 if f.getId() is not None:
                     by[f.getId().intValue()] = f.getName()
+            if nested and not by:
+                converter = jvm.org.apache.spark.sql.execution.datasources.parquet.ParquetToSparkSchemaConverter(self.spark._jsparkSession.sessionState().conf())
+                names = {x.name: x.dataType for x in T.StructType.fromJson(json.loads(converter.convert(message).json())).fields}
             return bool(by), by, names
         finally:
             reader.close()
 
 
-def _mapping(meta: dict) -> dict[int, list[str]]:
-    text = (meta.get("properties") or {}).get("schema.name-mapping.default")
-    return {x["field-id"]: x["names"] for x in json.loads(text) if x.get("field-id") is not None} if text else {}
-
-
-def literal(v, t) -> Column:
-    """A typed literal; values as manifests or defaults hold them."""
-    return F.lit(None).cast(to_spark(t)) if v is None else F.lit(serde.from_json(v, t)).cast(to_spark(t))
-
-
 def _group_key(entry: dict, footers: Footers, fields: list[dict], mapping: dict, meta: dict) -> tuple:
     """What reading a file needs: ids or names, and values of columns that it lacks."""
     has_ids, by, names = footers.columns(entry)
@@ -155,12 +151,12 @@ def _group_key(entry: dict, footers: Footers, fields: list[dict], mapping: dict,
         tuple_ = entry["data_file"]["partition"]
         name = None
         if not has_ids:
-            wanted = mapping[i] if i in mapping else [f["name"], sanitize(f["name"])]
-            name = next((n for n in wanted if n in names), None)
+            name = naming.stored(f, mapping, names)
         if i in parts and parts[i] in tuple_ and (has_ids or name is None):
             out.append((i, "const", repr(tuple_[parts[i]])))
         elif name is not None:
-            out.append((i, "name", name))
+            held = T.StructType([T.StructField(name, naming.reading(f["type"], names[name], mapping))])
+            out.append((i, "name", held.json()))
         elif f.get("initial-default") is not None:
             out.append((i, "default", None))
         else:
@@ -176,7 +172,7 @@ def frame(spark: SparkSession, p: Plan, io=None, lineage: bool = False, position
     if not p.data:
         empty = spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in struct(fields).fields]))
         return _extra(empty, lineage, positions)
-    mapping, footers = _mapping(p.meta), Footers(spark, p.meta)
+    mapping, footers = naming.mapping(p.meta), Footers(spark, p.meta)
     reserved = [{"id": ROW_ID, "name": ROW_ID_NAME, "type": "long"}, {"id": LAST_SEQ, "name": LAST_SEQ_NAME, "type": "long"}] if lineage else []
     groups: dict[tuple, list[tuple[int, dict]]] = {}
     touched = _touched(p) if delete_rows else {}
@@ -227,10 +223,11 @@ def _touched(p: Plan) -> dict[int, list[dict]]:
 def _read_group(spark, p: Plan, has_ids: bool, columns: tuple, own: list, fields: list[dict], touched: dict, lineage: bool, positions: bool) -> DataFrame:
     paths = [canonical(e["data_file"]["file_path"]) for _, e in own]
     by_id = {f["id"]: f for f in fields}
+    held = {i: T.StructType.fromJson(json.loads(x)).fields[0] for i, how, x in columns if how == "name"}
     if has_ids:
         schema = struct([by_id[i] for i, how, _ in columns if how == "id"])
     else:
-        schema = T.StructType([T.StructField(name, to_spark(by_id[i]["type"])) for i, how, name in columns if how == "name"])
+        schema = T.StructType(list(held.values()))
     need_file = bool(touched) or lineage or positions
     if not schema.fields:  # nothing to read but the number of rows
         schema = T.StructType([T.StructField("__none", T.StringType())])
@@ -244,12 +241,12 @@ def _read_group(spark, p: Plan, has_ids: bool, columns: tuple, own: list, fields
         if how == "id":
             c = F.col(f"`{f['name']}`")
         elif how == "name":
-            c = F.col(f"`{x}`")
+            c = naming.shaped(F.col(f"`{held[i].name}`"), f["type"], held[i].dataType, naming.mapping(p.meta))
         elif how == "const":
             names = {s.get("source-id", (s.get("source-ids") or [None])[0]): s["name"] for s in md.spec(p.meta, own[0][1]["spec_id"])["fields"] if s["transform"] == "identity"}
-            c = literal(own[0][1]["data_file"]["partition"][names[i]], f["type"])
+            c = naming.literal(own[0][1]["data_file"]["partition"][names[i]], f["type"])
         else:
-            c = literal(f.get("initial-default") if how == "default" else None, f["type"])
+            c = naming.literal(f.get("initial-default") if how == "default" else None, f["type"])
         cols.append(c.cast(to_spark(f["type"])).alias(f["name"]) if how != "id" else c)
     if need_file:
         cols += [_clean_path(F.col("_metadata.file_path")).alias(PATH), F.col("_metadata.row_index").alias(POS)]

@@ -19,7 +19,8 @@ from ..functions import geo, serde, transforms
 from ..functions.types import LAST_SEQ, LAST_SEQ_NAME, ROW_ID, ROW_ID_NAME, kind, struct, to_spark
 from ..sources import manifests, metadata as md
 from ..sources.fileio import canonical
-from .scan import OWN, PATH_FIELD, configure, literal
+from .naming import literal
+from .scan import OWN, PATH_FIELD, configure
 
 NO_BOUNDS = {"variant", "unknown", "geometry", "geography"}
 CODECS = ("snappy", "uncompressed", "zstd", "gzip")

@@ -10,6 +10,7 @@ import urllib.request
 
 from ..plans import commit
 from ..table import FileStore, Table, new_metadata
+from . import credentials
 from . import metadata as md
 from .fileio import AlreadyExists, CachingIO, io_for
 
@@ -142,7 +143,10 @@ class RestCatalog:
     def load_table(self, name: str, delegation: str | None = None) -> Table:
         at, table = self._at(name)
         head = {"X-Iceberg-Access-Delegation": delegation} if delegation else None
-        return self._table(name, self._call("GET", f"{at}/{table}", headers=head))
+        r = self._call("GET", f"{at}/{table}", headers=head)
+        if delegation == "vended-credentials" and not r.get("storage-credentials") and "s3.access-key-id" not in (r.get("config") or {}):
+            r = r | {"storage-credentials": self.load_credentials(name)}
+        return self._table(name, r)
 
     def load_credentials(self, name: str) -> list[dict]:
         at, table = self._at(name)
@@ -182,11 +186,17 @@ class RestStore:
     def __init__(self, catalog: RestCatalog, name: str, r: dict):
         self.catalog, self.table = catalog, name
         self.location = r["metadata"]["location"].rstrip("/")
+        self._told(r)
         self.io = catalog.io or io_for(self.location, catalog.spark)
 
+    def _told(self, r: dict) -> None:
+        """Storage settings that came with the table reach the file systems."""
+        credentials.apply(self.catalog.spark, credentials.by_bucket(r, self.location, self.catalog.config))
+
     def load(self) -> tuple[dict, str]:
         at, table = self.catalog._at(self.table)
         r = self.catalog._call("GET", f"{at}/{table}")
+        self._told(r)
         return r["metadata"], r.get("metadata-location") or ""
 
     def commit(self, meta: dict, name: str, requirements: list[dict], updates: list[dict]) -> tuple[dict, str]:
@@ -195,7 +205,11 @@ class RestStore:
 
 
 def table_buckets(spark, region: str, arn: str, credentials: dict, clock=time.time) -> RestCatalog:
-    """REST catalog of table buckets in an object store, with signed requests."""
+    """REST catalog of table buckets in an object store, with signed requests; files are reached
+    with the same credentials unless the service hands out others."""
     from .sigv4 import signer
 
-    return RestCatalog(spark, f"https://s3tables.{region}.amazonaws.com/iceberg", warehouse=arn, sign=signer(region, "s3tables", credentials, clock))
+    catalog = RestCatalog(spark, f"https://s3tables.{region}.amazonaws.com/iceberg", warehouse=arn, sign=signer(region, "s3tables", credentials, clock))
+    names = {"s3.access-key-id": "access_key", "s3.secret-access-key": "secret_key", "s3.session-token": "session_token"}
+    catalog.config = {"client.region": region} | {k: credentials[v] for k, v in names.items() if credentials.get(v)} | catalog.config
+    return catalog

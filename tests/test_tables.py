@@ -14,7 +14,7 @@ from quarrylake.functions.types import schema_from
 from quarrylake.operators import scan
 from quarrylake.plans import commit
 from quarrylake.plans.sql import query, references
-from quarrylake.sources import manifests
+from quarrylake.sources import credentials, manifests
 from quarrylake.sources import metadata as md
 from quarrylake.sources.catalog import FileCatalog, RestCatalog, RestError
 from quarrylake.sources.fileio import AlreadyExists
@@ -309,6 +309,62 @@ def test_files_without_ids(spark, catalog, tmp_path):
     assert t.read(where="day = date'2020-01-02'").count() == 1 and not t.plan("day = date'2020-01-03'").data
 
 
+def test_nested_names(spark, catalog, tmp_path):
+    """Fields inside structs, lists and maps of foreign files, by the mapping or by name."""
+    spark.sql("""select named_struct('old', 1L, 'same', 'x', 'extra', 2) s, array(named_struct('q', 3), null) l, map('k', named_struct('v', 4L)) m
+        union all select null, null, null""").coalesce(1).write.parquet(str(tmp_path / "foreign"))
+    path = next(p for p in (tmp_path / "foreign").iterdir() if p.suffix == ".parquet")
+    field = lambda i, name, t, **more: {"id": i, "name": name, "required": False, "type": t, **more}
+    inner = {"type": "struct", "fields": [field(10, "same", "string"), field(11, "new", "long"), field(12, "none", "int"), field(13, "told", "int", **{"initial-default": 7})]}
+    listed = {"type": "list", "element-id": 20, "element-required": False, "element": {"type": "struct", "fields": [field(21, "n", "int")]}}
+    mapped = {"type": "map", "key-id": 30, "key": "string", "value-id": 31, "value-required": False, "value": {"type": "struct", "fields": [field(32, "w", "long")]}}
+    schema = {"type": "struct", "fields": [field(1, "s", inner), field(2, "items", listed), field(3, "m", mapped)]}
+    names = [
+        {"field-id": 1, "names": ["s"], "fields": [{"field-id": 11, "names": ["older", "old"]}]},
+        {"field-id": 2, "names": ["l"], "fields": [{"field-id": 20, "names": ["element"], "fields": [{"field-id": 21, "names": ["q"]}]}]},
+        {"field-id": 3, "names": ["m"], "fields": [{"field-id": 31, "names": ["value"], "fields": [{"field-id": 32, "names": ["v"]}]}]},
+    ]
+    t = catalog.create_table("nested", schema, properties={"schema.name-mapping.default": json.dumps(names)}, version=3)
+    from quarrylake.operators import write
+
+    e = {"status": 1, "spec_id": 0, "data_file": {"content": 0, "file_path": str(path), "file_format": "PARQUET", "partition": {}, "record_count": 2, "file_size_in_bytes": path.stat().st_size}}
+    t.commit_append(write.Staged([e], [], 2))
+    rows = [json.loads(x) for x in t.read().orderBy(F.col("s").isNull()).toJSON().collect()]
+    assert rows[0] == {"s": {"same": "x", "new": 1, "told": 7}, "items": [{"n": 3}, None], "m": {"k": {"w": 4}}} and rows[1] == {}
+    assert [r["n"] for r in t.read().where("s is not null").select(F.col("s.new").alias("n")).collect()] == [1]
+
+
+def test_vectors_in_several_files(spark, catalog, monkeypatch):
+    """Deletion vectors beyond the size of a file begin another."""
+    monkeypatch.setattr("quarrylake.table.PUFFIN_BYTES", 1)
+    t = make(catalog, spark, [(i, f"n{i % 3}") for i in range(30)], "id long, name string", version=3, spec=[{"source": "name", "transform": "identity"}])
+    t.delete_where("id < 10").delete_where("id in (4, 12, 13)")
+    deletes = manifests.live(t.io, md.snapshot(t.meta))[1]
+    assert len({d["data_file"]["file_path"] for d in deletes}) == 3
+    assert [r["id"] for r in t.read().orderBy("id").collect()] == [10, 11, *range(14, 30)]
+    assert not [n for n in t.io.list(f"{t.location}/data") if n.startswith("_staging")]
+
+
+def test_storage_settings(spark):
+    """What a catalog service says about a table's bucket reaches Hadoop's configuration, for that bucket."""
+    told = {
+        "config": {"client.region": "r-1", "s3.access-key-id": "table"},
+        "storage-credentials": [
+            {"prefix": "s3://held/t", "config": {"s3.access-key-id": "near", "s3.secret-access-key": "s", "s3.session-token": "w"}},
+            {"prefix": "s3://held", "config": {"s3.access-key-id": "far"}},
+            {"prefix": "s3://other", "config": {"s3.access-key-id": "o", "s3.secret-access-key": "p"}},
+        ],
+    }
+    got = credentials.by_bucket(told, "s3a://held/t/x", {"s3.endpoint": "http://e"})
+    assert got["held"] == {"s3.endpoint": "http://e", "client.region": "r-1", "s3.access-key-id": "near", "s3.secret-access-key": "s", "s3.session-token": "w"}
+    assert got["other"]["s3.access-key-id"] == "o" and credentials.by_bucket({}, "/local/t") == {}
+    credentials.apply(spark, got)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert conf.get("fs.s3a.bucket.held.access.key") == "near" and conf.get("fs.s3a.bucket.held.endpoint.region") == "r-1"
+    assert conf.get("fs.s3a.bucket.held.aws.credentials.provider").endswith("TemporaryAWSCredentialsProvider")
+    assert conf.get("fs.s3a.bucket.other.aws.credentials.provider").endswith("SimpleAWSCredentialsProvider") and conf.get("fs.s3a.access.key") is None
+
+
 def test_special_types(spark, catalog):
     schema = {"type": "struct", "fields": [{"id": i + 1, "name": n, "required": False, "type": t} for i, (n, t) in enumerate([("id", "long"), ("ns", "timestamp_ns"), ("v", "variant"), ("g", "geometry"), ("u", "uuid"), ("nothing", "unknown"), ("time", "time")])]}
     t = catalog.create_table("s", schema, version=3)
@@ -434,6 +490,8 @@ def test_rest_catalog(spark, tmp_path):
         assert values(c.load_table("a.x.t").read()) == [(1,), (2,)] and len(Service.tables["a.x.t"]["snapshots"]) == 2
         assert query(spark, 'SELECT sum(id) s FROM "a.x.t"', catalog=c).first()["s"] == 3
         assert c.list_tables("a.x") == ["a.x.t"] and c.load_credentials("a.x.t") == [{"prefix": "x"}]
+        c.load_table("a.x.t", delegation="vended-credentials")
+        assert Service.seen[-2][2]["X-Iceberg-Access-Delegation"] == "vended-credentials" and Service.seen[-1][1].endswith("/credentials")
         c.rename_table("a.x.t", "a.x.u")
         with pytest.raises(RestError) as e:
             c.load_table("a.x.t")
