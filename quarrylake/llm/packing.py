@@ -28,6 +28,8 @@ from .common import Scratch, Writer, rows_of, text_bytes
 TOKENS = 2048
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
 WORD_CACHE = 200_000
+#: Longer words (in bytes) are split anew each time, so that what is remembered is bounded in bytes too.
+LONG_WORD = 256
 
 
 def tokenizer_path() -> str:
@@ -115,7 +117,9 @@ class WordIds:
                 w = words[at]
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = self.word(w)
+                    got = self.word(w)
+                    if len(w) <= LONG_WORD:
+                        known[w] = got
                 ids[at] = got
         except ValueError:
             return b"".join(ids)

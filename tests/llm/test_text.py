@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -174,6 +175,66 @@ def test_language(spark):
     assert language.identify(spark, empty).count() == 0
 
 
+def gram_counts(data):
+    """Counts of hashed two- and three-byte grams, gram by gram."""
+    b = [32, *[c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in data], 32]
+    out = [0] * language.BUCKETS
+    for i in range(len(b) - 1):
+        two = b[i] * 257 + b[i + 1]
+        out[(two * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        if i + 2 < len(b):
+            out[((two * 263 + b[i + 2]) * 2246822519 & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_language_matches_brute_force(spark):
+    """Predictions and scores of every row are those of plain Python, from the definitions."""
+    rng = random.Random(12)
+    parts = {"aa": ["the", "ing", "and", "er"], "bb": ["sch", "ing", "ei", "und"], "cc": ["que", "ing", "and", "é"], "dd": ["the", "ei", "les", "日"]}
+    rows = []
+    for i in range(160):
+        k = rng.choice(list(parts))
+        rows.append((i, " ".join("".join(rng.choice(parts[rng.choice([k, k, "aa"])]) for _ in range(2)) for _ in range(rng.randint(1, 12))), k))
+    rows += [(500, "the " * 3000, "aa"), (501, "THE-And", None)]
+    known = [(t, k) for d, t, k in rows if k and zlib.crc32(str(d).encode()) % 5]
+    langs = sorted({k for _, k in known})
+    p = []
+    for lang in langs:
+        c = [0.5 + sum(x) for x in zip(*(gram_counts(t.encode()) for t, k in known if k == lang))]
+        p.append([x / sum(c) for x in c])
+    bits = []  # every split of the languages in two, the first always on the plus side
+    for number in range((1 << (len(langs) - 1)) - 1):
+        sign = [1, *[1 if number >> j & 1 else -1 for j in range(len(langs) - 1)]]
+        mean = lambda s: [sum(x) / sign.count(s) for x in zip(*(p[j] for j in range(len(langs)) if sign[j] == s))]  # noqa: E731, B023
+        weight = [math.log(a) - math.log(b) for a, b in zip(mean(1), mean(-1))]
+        at = [sum(a * b for a, b in zip(own, weight)) for own in p]
+        low, high = min(x for x, s in zip(at, sign) if s > 0), max(x for x, s in zip(at, sign) if s < 0)
+        bits.append((sign, weight, (low + high) / 2, max((low - high) / 2, 1e-3)))
+    trust = sum(b[3] for b in bits)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(spark, df).collect()}
+    for d, t, _ in rows:
+        x = gram_counts(t.encode())
+        loss = [0.0] * len(langs)
+        for sign, weight, centre, scale in bits:
+            margin = (sum(n * w for n, w in zip(x, weight)) / sum(x) - centre) / scale
+            for j, s in enumerate(sign):
+                loss[j] += math.log1p(math.exp(-2 * max(-30.0, min(30.0, s * margin)))) * scale / trust
+        first, second = sorted(loss)[:2]
+        score = (second - first) / max(second + first, 1e-12)
+        assert got[d]["lang_pred"] == langs[loss.index(first)] and abs(got[d]["score"] - score) < 1e-9
+        assert got[d]["ambiguous"] == (score < language.AMBIGUOUS)
+
+
+def test_grams_of_long_texts(monkeypatch):
+    """Texts are counted in stretches, whose borders lose no gram."""
+    data = "The quick brown é fox 日本 jumps. ".encode() * 7
+    want = gram_counts(data)
+    for step in (1 << 20, 2, 3, 17, 64):
+        monkeypatch.setattr(language, "_STEP", step)
+        assert language.grams(data).tolist() == want
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 5, 9, 40):
         c = language.codewords(n)
@@ -237,6 +298,15 @@ def test_plan_keeps_all_limits():
                 assert len(own) == 1 or sum(n * n for _, n in own) <= (cost or 90_000)
 
 
+def test_long_words_are_not_remembered():
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    text = "ab " + "x" * 5000 + " ab " + "x" * 5000 + " " + "é" * 300
+    assert np.frombuffer(w.encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert list(w.known) == [b"ab"]
+
+
 def test_words_equal_tokenizer():
     from tokenizers import Tokenizer
 
