@@ -49,6 +49,8 @@ ALPHABETS = {
 }
 #: Rounded letter frequencies of European prose; capitals, digits and signs are rare in tokens.
 _LETTERS = dict(zip("etaonishrdlcumwfgypbvkjxqz", (120, 85, 80, 75, 72, 70, 65, 52, 62, 42, 42, 30, 29, 27, 20, 21, 20, 19, 19, 15, 11, 8, 3, 3, 2, 2)))
+#: Matches of a text that are numbered together, and characters of a stretch that is cut as a whole.
+BLOCK, STRETCH = 256, 1024
 #: Strata of length, and bins of the two p-values: tenths of a power of ten.
 STRATA, BINS, FLAWS = 6, 400, 40
 
@@ -67,19 +69,39 @@ def ordinary() -> dict[str, float]:
 def _spans(text: Column, pattern: str, kind: str, matches: Column, good: Column | None = None) -> Column:
     """Structs (start, end, kind) of the matches, in code points; ``good`` holds which count."""
     order = KINDS.index(kind)
-    one = "struct<start:int,end:int,kind:int>"
-    none = F.array().cast(f"array<{one}>")
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(gaps.alias("g"), matches.alias("m"), (good if good is not None else F.transform(matches, lambda m: F.lit(True))).alias("ok"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("kind")))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def all_of(rows: Column) -> Column:
+        before = _before(rows, 0, lambda at, x: at + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0)), _plus)
+        placed = F.zip_with(rows, before, lambda x, at: F.struct((at + F.length(x["g"])).alias("s"), F.length(x["m"]).alias("n"), x["ok"].alias("ok")))
+        return F.transform(F.filter(placed, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("start"), (x["s"] + x["n"]).alias("end"), F.lit(order).alias("kind")))
+
+    return F.when(F.size(matches) > 0, _bind(rows, all_of)).otherwise(none)
+
+
+def _before(items: Column, first: int, step, join) -> Column:
+    """For each item what ``step(total, item)`` makes, from ``first``, of those before it.
+
+    Arrays grow by copying, so the totals are gathered in blocks, and ``join`` takes the totals of
+    blocks together: a text with very many matches takes time in proportion to them.
+    """
+
+    def totals(xs: Column, start: Column, add) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def parts(blocks: Column) -> Column:
+        each = F.transform(blocks, lambda b: F.aggregate(b, F.lit(first), step))
+        return F.flatten(F.zip_with(blocks, totals(each, F.lit(first), join), lambda b, at: totals(b, at, step)))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+    return F.when(F.size(items) <= BLOCK, totals(items, F.lit(first), step)).otherwise(_bind(cut, parts))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _normal_tail(z: Column) -> Column:
@@ -96,28 +118,35 @@ def _bind(value: Column, body) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """The narrowest alphabet that has all characters of the token."""
-    out = F.lit(ALPHABETS["mixed"])
+    """Struct (k, at) of the narrowest alphabet that has all characters of the token: its size, and
+    by character code the place of each of its characters, from 1."""
+
+    def told(alphabet: str) -> Column:
+        return F.struct(F.lit(float(len(alphabet))).alias("k"), _by_code({c: i + 1.0 for i, c in enumerate(alphabet)}).alias("at"))
+
+    out = told(ALPHABETS["mixed"])
     for name in reversed(list(ALPHABETS)[:-1]):
         signs = ALPHABETS[name].replace("-", r"\-")
-        out = F.when(token.rlike(f"^[{signs}]+$"), F.lit(ALPHABETS[name])).otherwise(out)
+        out = F.when(token.rlike(f"^[{signs}]+$"), told(ALPHABETS[name])).otherwise(out)
     return out
 
 
+def _by_code(values: dict[str, float]) -> Column:
+    """An array of numbers by character code, 0 where there is none."""
+    return F.array(*[F.lit(float(values.get(chr(i), 0.0))) for i in range(128)])
+
+
 def battery(token: Column) -> Column:
     """Struct (p_chi, p_runs, p_serial, t): uniformity p-values and the log-likelihood ratio.
 
     A token with all values on one side of the middle fails the runs test, a constant one the
     serial test too (p = 0).
     """
-    logs = ordinary()
-    table = F.create_map(*[F.lit(x) for c, q in logs.items() for x in (c, math.log(q))])
+    logs = _by_code({c: math.log(q) for c, q in ordinary().items()})
 
-    def of(alphabet: Column) -> Column:
-        k = F.length(alphabet).cast("double")
-        signs = F.split(token, "")
-        values = F.transform(signs, lambda c: F.position(c, alphabet).cast("double"))
-        return _bind(values, lambda v: tests(v, k, signs))
+    def of(e: Column) -> Column:
+        codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+        return _bind(codes, lambda signs: _bind(F.transform(signs, lambda c: F.get(e["at"], c)), lambda v: tests(v, e["k"], signs)))
 
     def tests(v: Column, k: Column, signs: Column) -> Column:
         n = F.size(v).cast("double")
@@ -154,7 +183,7 @@ def battery(token: Column) -> Column:
             ),
         )
         p_serial = F.when(moments["xx"] > 0, _normal_tail((moments["xy"] / moments["xx"] + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-        t = F.aggregate(signs, F.lit(0.0), lambda a, c: a - F.coalesce(table[c], F.lit(0.0))) - n * F.log(k)
+        t = F.aggregate(signs, F.lit(0.0), lambda a, c: a - F.get(logs, c)) - n * F.log(k)
         return F.struct(p_chi.alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), t.alias("t"))
 
     return _bind(encoding(token), of)
@@ -185,7 +214,7 @@ def _scan_rows(rows: DataFrame, carry: list[str]) -> DataFrame:
     long_enough = F.transform(value, lambda v: F.length(v) >= 12)
     base = F.array_sort(
         F.concat(_spans(text, ASSIGN, "assign", F.col("m_assign"), long_enough), _spans(text, ACCESS, "access", F.col("m_access")), _spans(text, HEX, "hex", F.col("m_hex"))),
-        lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"),
+        _in_order,
     )
     tested = F.zip_with(
         _spans(text, TOKEN, "random", F.col("m_token")),
@@ -254,18 +283,27 @@ def _found(limits: dict[int, tuple[int, int]]) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     flaw, least = (F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[i])]) for i in (0, 1))
     extra = F.transform(
-        F.filter(
-            "tokens",
-            lambda t: (t["flaw"] < F.coalesce(flaw[t["stratum"]], F.lit(0)))
-            & (t["bin"] >= F.coalesce(least[t["stratum"]], F.lit(BINS + 1)))
-            & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-        ),
+        F.filter("tokens", lambda t: (t["flaw"] < F.coalesce(flaw[t["stratum"]], F.lit(0))) & (t["bin"] >= F.coalesce(least[t["stratum"]], F.lit(BINS + 1)))),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(KINDS.index("random")).alias("kind")),
     )
-    both = F.array_sort(F.concat("base", F.coalesce(extra, none)), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"))
+    both = _bind(F.array_sort(F.concat("base", F.coalesce(extra, none)), _in_order), _apart)
     return F.when(F.size("tokens") > 0, both).otherwise(F.col("base"))
 
 
+def _in_order(a: Column, b: Column) -> Column:
+    return F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int")
+
+
+def _apart(spans: Column) -> Column:
+    """Ordered spans without the random ones that overlap a base span: no base span before one
+    ends after its start, and none after it starts before its end."""
+    random, far = KINDS.index("random"), 2**31 - 1
+    ends = _before(spans, 0, lambda at, x: F.when(x["kind"] == random, at).otherwise(F.greatest(at, x["end"])), F.greatest)
+    starts = F.reverse(_before(F.reverse(spans), far, lambda at, x: F.when(x["kind"] == random, at).otherwise(F.least(at, x["start"])), F.least))
+    told = F.zip_with(F.arrays_zip(spans.alias("x"), ends.alias("e")), starts, lambda x, s: F.struct(x["x"].alias("x"), ((x["x"]["kind"] != random) | (x["e"] <= x["x"]["start"]) & (s >= x["x"]["end"])).alias("ok")))
+    return F.transform(F.filter(told, lambda x: x["ok"]), lambda x: x["x"])
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -293,24 +331,30 @@ def find_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
+def _marked(parts: Column, size: Column, spans: Column, mark: str) -> Column:
+    """The text of stretches ``parts`` with a mark for every run of overlapping spans.
+
+    What stands between them is taken from its own stretches, not counted from the text's start."""
+
+    def between(a: Column, b: Column) -> Column:
+        low, high = (F.floor(x / STRETCH).cast("int") for x in (a, b - 1))
+        return F.substr(F.array_join(F.slice(parts, low + 1, high - low + 1), ""), a - low * STRETCH + 1, b - a)
+
+    ends = _before(spans, 0, lambda at, x: F.greatest(at, x["end"]), F.greatest)
+    gaps = F.filter(F.zip_with(spans, ends, lambda x, at: F.struct(at.alias("a"), x["start"].alias("b"))), lambda g: g["a"] <= g["b"])
+    rest = between(F.array_max(F.transform(spans, lambda x: x["end"])), size)
+    return F.array_join(F.concat(F.transform(gaps, lambda g: between(g["a"], g["b"])), F.array(rest)), mark)
+
+
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; other columns pass through,
     whatever their names, ``n_chars`` counted anew. Overlapping spans become one mark; a null text
     stays null; repeated rows come back repeated; an empty table gives no rows."""
     scratch = Scratch(spark)
-    limits = thresholds(scratch.keep(scan(docs).select("tokens").where(F.size("tokens") > 0)))
     held = docs.select(F.struct(*docs.columns).alias("row"), docs["text"].isNotNull().alias("had"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = _scan_rows(held, ["row", "had"])
-    spans = rows.select("row", "text", "had", _found(limits).alias("found"))
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.concat(acc["out"], gap, F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]), fresh).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("found", none, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    text = F.when(F.col("had") & (F.size("found") > 0), clean).otherwise(F.col("row.text"))
+    rows = scratch.keep(_scan_rows(held, ["row", "had"]).drop("text"))  # scanned once; the thresholds need all rows
+    spans = rows.select("row", F.coalesce("row.text", F.lit("")).alias("text"), "had", _found(thresholds(rows)).alias("found"))
+    text = F.when(F.col("had") & (F.size("found") > 0), _bind(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0)), lambda parts: _marked(parts, F.length("text"), F.col("found"), mark))).otherwise(F.col("row.text"))
     out = spans.select("row", text.alias("__text")).select(*[F.col("__text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

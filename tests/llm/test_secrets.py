@@ -139,6 +139,31 @@ def test_redact(spark):
     assert got == {1: ('é [SECRET]" end', 15), 2: ("clean", 5), 3: (None, None)}
 
 
+def test_many_spans_in_a_text(spark, monkeypatch):
+    """Blocks of matches and stretches of text have borders that nothing shows of."""
+    rng = random.Random(21)
+    sign = secrets.ALPHABETS["base64"]
+    pool = [lambda: "é🙂 word", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(14, 40))), lambda: f"token={''.join(rng.choice(sign) for _ in range(rng.randint(8, 50)))}", lambda: "".join(rng.choice(sign) for _ in range(44)), lambda: "AKIA" + "AB12" * 4]
+    rows = [(i, " ".join(rng.choice(pool)() for _ in range(rng.choice((1, 5, 40, 120))))) for i in range(12)]
+    want = [(r["doc_id"], r["base_sha256"], r["spans"]) for r in secrets.find_secrets(spark, frame(spark, rows)).orderBy("doc_id").collect()]
+    assert [w[1] for w in want] == [base(t)[0][3] for _, t in rows] and sum("random" in w[2] for w in want) > 2
+    texts = dict(rows)
+    clean = {}
+    for d, _, spans in want:
+        out, at = "", 0
+        for start, end in (tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+            if start >= at:
+                out += texts[d][at:start] + "[SECRET]"
+            at = max(at, end)
+        clean[d] = out + texts[d][at:]
+    for block, stretch in ((256, 1024), (3, 7)):
+        monkeypatch.setattr(secrets, "BLOCK", block)
+        monkeypatch.setattr(secrets, "STRETCH", stretch)
+        got = [(r["doc_id"], r["base_sha256"], r["spans"]) for r in secrets.find_secrets(spark, frame(spark, rows)).orderBy("doc_id").collect()]
+        assert got == want
+        assert {r["doc_id"]: r["text"] for r in secrets.redact(spark, frame(spark, rows)).collect()} == clean
+
+
 def test_empty(spark):
     assert secrets.find_secrets(spark, frame(spark, [])).count() == 0
     assert secrets.redact(spark, frame(spark, [])).count() == 0
