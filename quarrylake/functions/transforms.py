@@ -7,6 +7,7 @@ import struct
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ _SOURCES = {
     "truncate": ("int", "long", "decimal", "string", "binary"),
 }
 MASK = 0xFFFFFFFF
+#: Values that are hashed one by one rather than together.
+FEW = 16
 
 
 def parse(name: str) -> tuple[str, int | None]:
@@ -53,16 +56,17 @@ def result_type(name: str, source: str) -> str:
     return "date" if k == "day" else "int"
 
 
-def murmur3(data: bytes) -> int:
-    """32-bit Murmur3 (x86, seed 0) as a signed integer."""
-    h, n = 0, len(data)
+def murmur3(data: bytes, h: int = 0, start: int = 0) -> int:
+    """32-bit Murmur3 (x86, seed 0) as a signed integer; ``h`` is the state after the first
+    ``start`` bytes, a multiple of four."""
+    n = len(data)
 
     def scramble(k: int) -> int:
         k = k * 0xCC9E2D51 & MASK
         k = (k << 15 | k >> 17) & MASK
         return k * 0x1B873593 & MASK
 
-    for i in range(0, n - n % 4, 4):
+    for i in range(start, n - n % 4, 4):
         h ^= scramble(int.from_bytes(data[i : i + 4], "little"))
         h = (h << 13 | h >> 19) & MASK
         h = (h * 5 + 0xE6546B64) & MASK
@@ -76,6 +80,44 @@ def murmur3(data: bytes) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def murmur3_many(values: list[bytes]) -> np.ndarray:
+    """Murmur3 of many values, signed; each step takes the next word of all that have one.
+
+    Values run by length, so those still going are a front part of the arrays. Once they are
+    fewer than FEW, each is finished alone, as a step over few values costs more than it saves.
+    """
+    length = np.fromiter(map(len, values), np.int64, len(values))
+    order = np.argsort(-length, kind="stable")
+    length = length[order]
+    words = np.frombuffer(b"".join(values[i] + bytes(-len(values[i]) % 4) for i in order), "<u4")
+    whole, start = length // 4, np.cumsum((length + 3) // 4) - (length + 3) // 4
+    h = np.zeros(len(values), np.uint32)
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint32(n) | x >> np.uint32(32 - n)
+
+    def scrambled(k: np.ndarray) -> np.ndarray:
+        return turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+    at = 0
+    while (going := int(np.searchsorted(-whole, -at))) >= FEW:
+        mixed = h[:going] ^ scrambled(words[start[:going] + at])
+        h[:going] = turned(mixed, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        at += 1
+    long = [murmur3(values[i], int(h[k]), 4 * at) for k, i in enumerate(order[:going])]
+    tail = np.flatnonzero(length % 4)
+    h[tail] ^= scrambled(words[start[tail] + whole[tail]])
+    h ^= length.astype(np.uint32)
+    for shift, mult in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(mult)
+    h ^= h >> np.uint32(16)
+    out = np.empty(len(values), np.int32)
+    out[order] = h.view(np.int32)
+    out[order[:going]] = long
+    return out
+
+
 def hash_bytes(v, t: str) -> bytes:
     k = kind(t)
     if k in ("int", "long", "time"):
@@ -182,7 +224,10 @@ def murmur3_long(c: Column) -> Column:
 def _murmur3_bytes(data):
     import pandas as pd
 
-    return pd.Series([None if x is None else murmur3(bytes(x)) & 0x7FFFFFFF for x in data], dtype="Int32")
+    out = pd.Series(pd.NA, index=data.index, dtype="Int32")
+    held = data.notna()
+    out[held] = murmur3_many(data[held].tolist()) & 0x7FFFFFFF
+    return out
 
 
 def column(name: str, c: Column, t: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import secrets
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,8 @@ from .scan import OWN, PATH_FIELD, configure
 
 NO_BOUNDS = {"variant", "unknown", "geometry", "geography"}
 CODECS = ("snappy", "uncompressed", "zstd", "gzip")
+#: Files that are moved at a time.
+MOVES = 16
 
 
 @dataclass
@@ -145,6 +148,12 @@ def stage_data(spark: SparkSession, io, location: str, meta: dict, df: DataFrame
     return Staged(entries, [e["data_file"]["file_path"] for e in entries], sum(e["data_file"]["record_count"] for e in entries), first_id)
 
 
+def _move(io, location: str, pairs: list[tuple[str, str]]) -> None:
+    """Move staged files, as Spark names them, to their places; the first failure is raised."""
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(lambda x: io.rename(x[0] if "://" in location else x[0].removeprefix("file://"), x[1]), pairs))
+
+
 def _bounded(f: dict) -> bool:
     return not isinstance(f["type"], dict) and kind(f["type"]) not in NO_BOUNDS
 
@@ -178,10 +187,9 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
     if lineage:
         aggs += [F.count(ROW_ID_NAME).alias("ids"), F.min(ROW_ID_NAME).alias("first_id")]
     rows = staged.groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size")).agg(*aggs).collect()
-    out = []
+    out, moves = [], []
     for r in sorted(rows, key=lambda r: r["p"]):
         n = r["n"]
-        old = canonical(r["p"])
         tuple_ = {}
         for k, (f, _, t) in enumerate(tuple_cols):
             if r[f"tc{k}"] not in (0, n) or r[f"t{k}"] != r[f"x{k}"] and not (r[f"t{k}"] != r[f"t{k}"]):
@@ -204,7 +212,7 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
                 if b is not None:
                     high[i] = serde.to_bytes(b, t)
         path = f"{location}/data/{uuid.uuid4().hex}{OWN}"
-        io.rename(old if "://" in location else old.removeprefix("file://"), path)
+        moves.append((canonical(r["p"]), path))
         out.append(
             {
                 "status": manifests.ADDED,
@@ -215,6 +223,7 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
                 },
             }
         )
+    _move(io, location, moves)
     whole = lineage and rows and all(r["ids"] == r["n"] for r in rows)
     return out, min(r["first_id"] for r in rows) if whole else None
 
@@ -268,15 +277,15 @@ def stage_position_deletes(spark: SparkSession, io, location: str, positions: Da
             .agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("low"), F.max("file_path").alias("high"))
             .collect()
         ) if held.limit(1).count() else []
-        entries = []
+        entries, moves = [], []
         for r in found:
             e = groups[r["__pt"]]
             path = f"{location}/data/{uuid.uuid4().hex}-del{OWN}"
-            old = canonical(r["p"])
-            io.rename(old if "://" in location else old.removeprefix("file://"), path)
+            moves.append((canonical(r["p"]), path))
             bounds = {"lower_bounds": {PATH_FIELD: r["low"].encode()}, "upper_bounds": {PATH_FIELD: r["high"].encode()}}
             one = {"referenced_data_file": r["low"]} if r["low"] == r["high"] else {}
             entries.append(delete_file(path, "PARQUET", r["size"], e["data_file"]["partition"], e["spec_id"], r["n"], **bounds, **one))
+        _move(io, location, moves)
         return entries
     finally:
         io.delete(staging)
@@ -298,17 +307,17 @@ def stage_equality_deletes(spark: SparkSession, io, location: str, meta: dict, k
     try:
         keys.distinct().select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name, metadata=f.metadata) for f in target.fields]).write.parquet(canonical(staging))
         found = spark.read.schema(target).parquet(canonical(staging)).groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
-        entries = []
+        entries, moves = [], []
         unpartitioned = next((s["spec-id"] for s in meta["partition-specs"] if not s["fields"]), None)
         if unpartitioned is None:
             raise ValueError("global equality deletes need an unpartitioned spec")
         for r in found:
             path = f"{location}/data/{uuid.uuid4().hex}-del{OWN}"
-            old = canonical(r["p"])
-            io.rename(old if "://" in location else old.removeprefix("file://"), path)
+            moves.append((canonical(r["p"]), path))
             e = delete_file(path, "PARQUET", r["size"], {}, unpartitioned, r["n"], equality_ids=[f["id"] for f in fields])
             e["data_file"]["content"] = 2
             entries.append(e)
+        _move(io, location, moves)
         return entries
     finally:
         io.delete(staging)

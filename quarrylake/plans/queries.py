@@ -183,6 +183,20 @@ def tf_bucket_long(spark, sf_dir):
     return _transformed(spark, sf_dir, "customer", "c_custkey", "c_custkey", "bucket[16]")
 
 
+@register(
+    """WITH k AS (SELECT l_orderkey, l_linenumber, (ascii(l_returnflag)::HUGEINT * 3432918353) % 4294967296 AS m FROM lineitem),
+    a AS (SELECT *, ((((m << 15) | (m >> 17)) % 4294967296) * 461845907) % 4294967296 AS k1 FROM k),
+    b AS (SELECT *, xor(k1, 1::HUGEINT) AS h1 FROM a),
+    c AS (SELECT *, (xor(h1, h1 >> 16) * 2246822507) % 4294967296 AS h2 FROM b),
+    d AS (SELECT *, (xor(h2, h2 >> 13) * 3266489909) % 4294967296 AS h3 FROM c)
+    SELECT l_orderkey, l_linenumber, CAST((xor(h3, h3 >> 16) & 2147483647) % 16 AS INTEGER) AS t FROM d"""
+)
+def tf_bucket_text(spark, sf_dir):
+    """Buckets of one-character texts."""
+    t = made(spark, sf_dir, "lineitem", [{"source": "l_returnflag", "transform": "bucket[16]"}])
+    return t.read().select("l_orderkey", "l_linenumber", transforms.column("bucket[16]", F.col("l_returnflag"), "string").alias("t"))
+
+
 @register(f"SELECT {_LI} FROM lineitem")
 def partitioned_write_read(spark, sf_dir):
     return made(spark, sf_dir, "lineitem", [{"source": "l_shipdate", "transform": "month"}, {"source": "l_returnflag", "transform": "identity"}]).read()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import struct
 import zlib
 from decimal import Decimal
@@ -338,3 +339,14 @@ def test_signatures():
 def test_checksums_match():
     assert zlib.crc32(puffin.encode_vector([1])[4:-4]) == struct.unpack(">I", puffin.encode_vector([1])[-4:])[0]
     assert np.array_equal(puffin.decode_vector(puffin.encode_vector([3, 3, 1])), [1, 3])
+
+
+def test_many_hashes_are_those_of_each_value(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 15, 16, 17, 300):
+        values = [rng.randbytes(rng.choice((0, 1, 2, 3, 4, 5, 8, 11, 30, 500))) for _ in range(n)]
+        assert transforms.murmur3_many(values).tolist() == [transforms.murmur3(v) for v in values]
+    texts = [None, "", "a", "éclair", *[rng.choice("xyz") * rng.randint(1, 40) for _ in range(60)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["b"] for r in df.select("t", transforms.column("bucket[7]", df["t"], "string").alias("b")).collect()}
+    assert got == {t: transforms.apply("bucket[7]", t, "string") for t in texts}
