@@ -48,7 +48,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sample_segmentations(table(spark, sf_dir, "documents"), digest=True)
+    """Every text encoded, decoded again and sampled."""
+    return segment.sample_segmentations(table(spark, sf_dir, "documents"), digest=True, encoded=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

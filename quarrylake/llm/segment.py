@@ -416,9 +416,12 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.lis
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double, exact boolean"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("exact", pa.bool_())])
 DIGEST = "doc_id long, sample int, n_ids long, ids_crc32 long, log_prob double, inclusion double, exact boolean"
+#: What the tokenizer's own segmentation adds to each.
+_ENC, ENC = [("enc_ids", pa.list_(pa.int32())), ("enc_exact", pa.bool_())], ", enc_ids array<int>, enc_exact boolean"
+_ENC_DIGEST, ENC_DIGEST = [("enc_n_ids", pa.int64()), ("enc_ids_crc32", pa.int64()), ("enc_exact", pa.bool_())], ", enc_n_ids long, enc_ids_crc32 long, enc_exact boolean"
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, digest: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, digest: bool = False, encoded: bool = False) -> DataFrame:
     """Up to ``k`` distinct segmentations of every row of ``docs(doc_id, text)``, best first.
 
     Columns: doc_id, sample, ids (or n_ids and ids_crc32), log_prob, inclusion, exact (the
@@ -426,21 +429,31 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = N
     with inclusion score 1; a null or empty text gives one empty segmentation; a word mark
     U+2581 in a text decodes as a space, so such a text is not exact. Rows with the same id and
     text get the same samples; a null ``doc_id`` stays null; an empty table gives no rows.
+    With ``encoded`` every row also has the tokenizer's own segmentation of its text, which has no
+    part in the sampling: enc_ids (or enc_n_ids and enc_ids_crc32) and enc_exact.
     """
     where = path or model_path()
+    schema, shape = (_DIGEST, DIGEST) if digest else (_OUT, SCHEMA)
+    if encoded:
+        schema, shape = pa.schema([*schema, *(_ENC_DIGEST if digest else _ENC)]), shape + (ENC_DIGEST if digest else ENC)
+
+    def shown(ids: np.ndarray) -> tuple:
+        return (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) if digest else (ids.tolist(),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, out = vocabulary(where, alpha), Writer(_DIGEST if digest else _OUT, rows=2000)
+        v, out = vocabulary(where, alpha), Writer(schema, rows=2000)
         held: list[tuple] = []
         size = 0
 
         def settle() -> None:
-            for (doc, text, _), own in zip(held, Group(v, [h[1] for h in held], [h[2] for h in held]).sample(k)):
+            texts = [h[1] for h in held]
+            best = v.sp.encode(texts, num_threads=1) if encoded else [None] * len(held)
+            for (doc, text, _), own, enc in zip(held, Group(v, texts, [h[2] for h in held]).sample(k), best):
                 data = text.encode("utf-8", "replace")
+                more = (*shown(np.array(enc, np.int64)), v.decode(enc) == data) if encoded else ()
                 for s, (pieces, logp, q) in enumerate(own or [(np.zeros(0, np.int64), 0.0, 1.0)]):
                     ids = ids_of(v, text, pieces)
-                    shown = (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) if digest else (ids.tolist(),)
-                    out.add(doc, s, *shown, logp, q, v.decode(ids.tolist()) == data)
+                    out.add(doc, s, *shown(ids), logp, q, v.decode(ids.tolist()) == data, *more)
 
         for batch in batches:
             for doc, data, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "key"))):
@@ -456,7 +469,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = N
             yield out.flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
-    return rows.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).mapInArrow(run, DIGEST if digest else SCHEMA)
+    return rows.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).mapInArrow(run, shape)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -294,3 +294,28 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     for view in (media._view(d), media._view(d[:1]), tuple(np.random.default_rng(2).integers(0, 1 << 63, 2, dtype=np.uint64) for _ in range(1)) + (np.zeros(2, np.uint64),) * 2):
         got = np.concatenate([np.stack(x, axis=1) for x in media._near(d, d, view)])
         assert np.array_equal(got[np.lexsort((got[:, 1], got[:, 0]))], all_pairs)
+
+
+def test_query_encodes_decodes_and_samples(spark, tmp_path):
+    """The registered query has the tokenizer's own ids of every text, and they decode to it."""
+    import zlib
+
+    import sentencepiece
+
+    from quarrylake.llm import queries
+
+    rows = [*odd_rows(), (7001, "the cat ① sat"), (7002, "a▁b"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=segment.model_path())
+    want = []
+    for d, t in rows:
+        ids = sp.encode(t or "")
+        want.append((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), "▁" not in (t or "")))
+    got = queries.op10_segment(spark, str(tmp_path)).collect()
+    firsts = [(r["doc_id"], r["enc_n_ids"], r["enc_ids_crc32"], r["enc_exact"]) for r in got if r["sample"] == 0]
+    order = lambda r: (r[0] is None, r)
+    assert sorted(firsts, key=order) == sorted(want, key=order)
+    whole = segment.sample_segmentations(df, encoded=True).collect()
+    assert all(r["enc_ids"] == sp.encode(t or "") for d, t in rows for r in whole if r["doc_id"] == d and d in (7001, 7002))
+    assert {(r["doc_id"], r["sample"], r["n_ids"]) for r in got} == {(r["doc_id"], r["sample"], len(r["ids"])) for r in whole}
