@@ -6,7 +6,8 @@ a task for every two groups compares their descriptors: all pairs within ``MAX_B
 are matches, found by counts of set bits that bound the distance from below. Matches of two
 images agree if enough of them imply one similarity transform (turn, scale and shift); agreeing
 images link, and components of the links whose transform makes the images alike are the groups
-of copies. Matches never leave their task.
+of copies. Matches and links never leave their task, which counts the links of each image and
+keeps one way to the least image that it is joined with.
 Equal images are described once.
 """
 
@@ -298,6 +299,75 @@ def _enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (good.sum(axis=2) >= MIN_MATCHES).any(axis=1)
 
 
+def _agreed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_consensus`` of n pairs of images at a time, each with m matches that all differ (n x m x 4)."""
+    n, m = a.shape[:2]
+    turn, _, cos, sin, tx, ty = (x[:, :, None] for x in _implied(a, b))
+    ratio = (b[..., 3] / a[..., 3])[:, :, None]
+    (ax, ay, a_size), (bx, by, b_size) = ([x[:, None, :, c] for c in (0, 1, 3)] for x in (a, b))
+    good = abs(cos * ax - sin * ay + tx - bx) <= SHIFT * b_size
+    good &= abs(sin * ax + cos * ay + ty - by) <= SHIFT * b_size
+    good &= abs((turn.swapaxes(1, 2) - turn + np.pi) % (2 * np.pi) - np.pi) <= 4 * np.pi / TURNS
+    good &= abs(np.log(ratio.swapaxes(1, 2) / ratio)) < 0.42
+    number = good.sum(axis=2)
+    # Matches that count once, and their order, as in _corners.
+    once = np.zeros((n, m, m), bool)
+    for x, y, size in ((ax, ay, a_size), (bx, by, b_size)):
+        reach = SHIFT * np.maximum(size, size.swapaxes(1, 2))
+        once |= (abs(x - x.swapaxes(1, 2)) <= reach) & (abs(y - y.swapaxes(1, 2)) <= reach)
+    order = np.lexsort((b[..., 1], b[..., 0], b[..., 3]), axis=-1)
+    best, which, start = (np.zeros(n, np.int64) for _ in range(3))
+    live, k = np.arange(n), np.arange(m)
+    while True:
+        top = best[live, None]
+        can = (k >= start[live, None]) & (number[live] > top) & ((m - k > top) | (top < MIN_MATCHES))
+        more = can.any(axis=1)
+        live, at = live[more], can[more].argmax(axis=1)
+        if not len(live):
+            return best, which
+        left, found, rows = good[live, at], np.zeros(len(live), np.int64), np.arange(len(live))
+        for step in range(m):
+            own = order[live, step]
+            here = left[rows, own]
+            found += here
+            left &= ~(once[live, own] & here[:, None])
+        better = found > best[live]
+        best[live[better]], which[live[better]] = found[better], at[better]
+        start[live] = at + 1
+
+
+def _all_alike(left: Side, x: np.ndarray, right: Side, y: np.ndarray, a: np.ndarray, b: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """``_alike`` of n pairs of images at a time."""
+    size, other = left.cut[x + 1] - left.cut[x], right.cut[y + 1] - right.cut[y]
+    out, room = np.zeros(len(x), bool), int(size.max()) * int(other.max())
+    if room > 100_000:
+        for k in range(len(x)):
+            out[k] = _alike(left, int(x[k]), right, int(y[k]), a[k], b[k], int(number[k]))
+        return out
+    if len(x) > (n := max(1, 500_000 // room)):
+        return np.concatenate([_all_alike(left, x[k : k + n], right, y[k : k + n], a[k : k + n], b[k : k + n], number[k : k + n]) for k in range(0, len(x), n)])
+    # Places past an image's last corner hold a corner of no weight.
+    mine, theirs = np.arange(size.max()) < size[:, None], np.arange(other.max()) < other[:, None]
+    own, at = (np.where(there, first[:, None] + np.arange(there.shape[1]), first[:, None]) for there, first in ((mine, left.cut[x]), (theirs, right.cut[y])))
+    p, to = left.place[own], right.place[at]
+    _, ratio, cos, sin, tx, ty = (v[:, None] for v in _implied(a, b))
+    u, v, grown = to[..., 0] - tx, to[..., 1] - ty, np.exp(2 * ratio)[..., None]
+    there = np.stack((cos * p[..., 0] - sin * p[..., 1] + tx, sin * p[..., 0] + cos * p[..., 1] + ty), axis=2)
+    back = np.stack((cos * u + sin * v, cos * v - sin * u), axis=2) / grown
+    inside = lambda x, y: ((x >= y[..., :2].min(axis=1, keepdims=True)) & (x <= y[..., :2].max(axis=1, keepdims=True))).all(axis=2)
+    common = np.minimum((inside(there, to) & mine).sum(axis=1), (inside(back, p) & theirs).sum(axis=1))
+    near = abs(there[:, :, None, 0] - to[:, None, :, 0]) <= SHIFT * to[:, None, :, 3]
+    near &= abs(there[:, :, None, 1] - to[:, None, :, 1]) <= SHIFT * to[:, None, :, 3]
+    near &= abs(np.log(to[:, None, :, 3] / p[:, :, None, 3]) - ratio[..., None]) < 0.42
+    near &= mine[:, :, None] & theirs[:, None, :]
+    g, i, j = np.nonzero(near)
+    far = np.full(own.shape, BITS + 1)
+    np.minimum.at(far, (g, i), np.bitwise_count(left.d[own[g, i]] ^ right.d[at[g, j]]).sum(axis=1, dtype=np.int64))
+    far.sort(axis=1)
+    found, k = (far <= BITS).sum(axis=1), np.arange(len(x))
+    return (number >= SHARE * common) & (far[k, (found - 1) // 2] + far[k, found // 2] <= 2 * ALIKE)
+
+
 def _alike(left: Side, x: int, right: Side, y: int, a: np.ndarray, b: np.ndarray, number: int) -> bool:
     """Whether the transform of match ``a``, ``b`` holds for image ``x`` of ``left`` and ``y`` of ``right`` beyond its matches:
     half of the corners that it puts on corners of the other image differ in at most ``ALIKE`` bits, and the ``number`` of
@@ -362,13 +432,28 @@ def _block(left: Side, right: Side, rows: tuple[int, int], cols: tuple[int, int]
         for k in range(0, len(own), n := max(1, 200_000 // m**2)):
             some = own[k : k + n, None] + np.arange(m)
             a, b = left.place[i[some]], right.place[j[some]]
-            for x in np.flatnonzero(_enough(a, b)).tolist() if m <= 400 else range(len(some)):
+            ends = left.image[i[some[:, 0]]], right.image[j[some[:, 0]]]
+            if m <= 400:
+                some = np.flatnonzero(_enough(a, b))
+                rows = np.concatenate((a[some], b[some]), axis=2)
+                rows = np.take_along_axis(rows, np.lexsort(rows.transpose(2, 0, 1)[::-1], axis=-1)[:, :, None], axis=1)
+                differ = (rows[:, 1:] != rows[:, :-1]).any(axis=2).all(axis=1)
+                at_once, rows = some[differ], rows[differ]
+                number, best = _agreed(rows[..., :4], rows[..., 4:])
+                good = np.flatnonzero(number >= MIN_MATCHES)
+                if len(good):
+                    x, y, one = ends[0][at_once[good]], ends[1][at_once[good]], rows[good, best[good]]
+                    alike = _all_alike(left, x, right, y, one[:, :4], one[:, 4:], number[good])
+                    yield from zip(left.ids[x].tolist(), right.ids[y].tolist(), alike.tolist())
+                some = some[~differ]
+            else:
+                some = np.arange(len(some))
+            for x in some.tolist():
                 both = np.unique(np.concatenate((a[x], b[x]), axis=1), axis=0)
                 number, best = _consensus(both[:, :4], both[:, 4:])
                 if number >= MIN_MATCHES:
-                    ends = int(left.image[i[some[x, 0]]]), int(right.image[j[some[x, 0]]])
-                    alike = _alike(left, ends[0], right, ends[1], both[best, :4], both[best, 4:], number)
-                    yield int(left.ids[ends[0]]), int(right.ids[ends[1]]), alike
+                    alike = _alike(left, int(ends[0][x]), right, int(ends[1][x]), both[best, :4], both[best, 4:], number)
+                    yield int(left.ids[ends[0][x]]), int(right.ids[ends[1][x]]), alike
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.bool_())])
@@ -410,6 +495,34 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.flush()
 
 
+_TALLY = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each image that has links here: how many (``n``), and the least id (``root``) that those reach
+    whose images are alike. So a group of near copies gives as many rows as images, not as pairs."""
+    number: dict[int, int] = {}
+    above: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := above.get(i, i)) != i:
+            above[i] = i = above.get(up, up)
+        return i
+
+    for batch in _links(batches):
+        for a, b, alike in zip(*(c.to_pylist() for c in batch.columns)):
+            number[a] = number.get(a, 0) + 1
+            number[b] = number.get(b, 0) + 1
+            if alike and (x := top(a)) != (y := top(b)):
+                above[max(x, y)] = min(x, y)
+    out = Writer(_TALLY)
+    for i, n in number.items():
+        if out.add(i, n, top(i)):
+            yield out.flush()
+    if len(out):
+        yield out.flush()
+
+
 def image_copies(spark: SparkSession, media: DataFrame) -> DataFrame:
     """``(media_id, n_corners, n_links, copy_id)`` for every row of ``media(media_id, image)``.
 
@@ -434,9 +547,9 @@ def image_copies(spark: SparkSession, media: DataFrame) -> DataFrame:
     low, high = F.least("g", "other"), F.greatest("g", "other")
     dealt = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     dealt = dealt.repartitionById(n * (n + 1) // 2, (high * (high + 1) / 2 + low).cast("int"))
-    links = scratch.keep(dealt.mapInArrow(_links, "a long, b long, alike boolean"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links.where("alike"), scratch)
+    links = scratch.keep(dealt.mapInArrow(_tally, "id long, n long, root long"))
+    degree = links.groupBy("id").agg(F.sum("n").alias("n_links"))
+    found = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     named = groups.join(found, groups["id"] == found["node"], "left").select("sha", "least", "id", F.coalesce("root", "id").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("copy_id"))
     classes = scratch.keep(named.join(roots, "root").join(degree, "id", "left").select("sha", "copy_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))

@@ -319,3 +319,46 @@ def test_query_encodes_decodes_and_samples(spark, tmp_path):
     whole = segment.sample_segmentations(df, encoded=True).collect()
     assert all(r["enc_ids"] == sp.encode(t or "") for d, t in rows for r in whole if r["doc_id"] == d and d in (7001, 7002))
     assert {(r["doc_id"], r["sample"], r["n_ids"]) for r in got} == {(r["doc_id"], r["sample"], len(r["ids"])) for r in whole}
+
+
+def test_near_copies_give_a_row_an_image(spark, monkeypatch):
+    """No table that is written grows with the pairs of a group of near copies; all its links count."""
+    rng = np.random.default_rng(12)
+    n, base = 24, picture(3000, 64)
+    images = {i: np.clip(base + rng.normal(0, 2, base.shape), 0, 255) for i in range(n)} | {100 + i: picture(3100 + i, 64) for i in range(6)}
+    links, _, _ = brute_links(images)
+    assert len(links) >= n * (n - 1) // 2
+    written, keep = [], media.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(media.Scratch, "keep", counted)
+    monkeypatch.setattr(media, "LEAST_GROUPS", 1)
+    df = spark.createDataFrame([(i, media.pgm(x)) for i, x in images.items()], "media_id long, image binary")
+    got = {r["media_id"]: (r["n_links"], r["copy_id"]) for r in media.image_copies(spark, df).collect()}
+    assert max(written) <= 2 * len(images), written
+    assert got == {i: (sum(i in x for x in links), 0 if i < n else i) for i in images}
+
+
+def test_pairs_at_once_as_one_by_one():
+    """Many pairs of images judged at once come out as each alone does."""
+    rng = np.random.default_rng(13)
+    for m in (5, 9, 40):
+        n = 30
+        a = np.stack([rng.integers(0, 30, (n, m)) * 2.0, rng.integers(0, 30, (n, m)) * 2.0, rng.normal(0, 0.3, (n, m)), rng.choice([1, 1.5, 2, 3], (n, m))], axis=2)
+        b = a + np.stack([rng.normal(3, 2.5, (n, m)), rng.normal(1, 2.5, (n, m)), rng.normal(0, 0.3, (n, m)), np.zeros((n, m))], axis=2)
+        b[:, : m // 3, :2] = rng.uniform(0, 60, (n, m // 3, 2))
+        number, which = media._agreed(a, b)
+        assert list(zip(number.tolist(), which.tolist())) == [media._consensus(x, y) for x, y in zip(a, b)]
+        sizes = rng.integers(5, m + 1, n)
+        own = np.concatenate([np.arange(m) < s for s in sizes])
+        d = rng.integers(0, 1 << 63, (n * m, 2), dtype=np.uint64)
+        near = d ^ (np.uint64(1) << rng.integers(0, 64, (n * m, 2), dtype=np.uint64)) ^ (d >> np.uint64(45)) * (rng.random((n * m, 1)) < 0.5)
+        left, right = (media.Side(np.arange(n), sizes, x.reshape(-1, 4)[own], y[own]) for x, y in ((a, d), (b, near)))
+        which = np.minimum(which, sizes - 1)
+        one, two = (x[np.arange(n), which] for x in (a, b))
+        at_once = media._all_alike(left, np.arange(n), right, np.arange(n), one, two, number)
+        assert at_once.tolist() == [media._alike(left, k, right, k, one[k], two[k], int(number[k])) for k in range(n)]
