@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import math
 import re
 import zlib
@@ -35,6 +36,8 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of one stretch; longer texts are walked stretch by stretch.
 SEGMENT = 160_000
+#: Words whose ids are remembered, each of up to so many characters.
+KNOWN, KNOWN_CHARS = 200_000, 64
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,6 +92,9 @@ class Vocabulary:
                     pieces.append(p)
                     ids.append(i)
         self.longest = max(map(len, pieces))
+        # Where every piece has marks in front only, merges never join two chunks.
+        self.apart = all(MARK not in (p := self.sp.id_to_piece(i)).lstrip(MARK) or self.sp.is_control(i) or self.sp.is_unknown(i) for i in range(n))
+        self.coded: dict[str, list[int]] = {}
         keys = np.array([self.hash_of(p) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids)[order]
@@ -113,6 +119,19 @@ class Vocabulary:
             h ^= h >> 29
         return h
 
+    def encode(self, chunks: list[str]) -> list[list[int]]:
+        """The tokenizer's ids of different chunks; a word is encoded once while it is remembered."""
+        if len(self.coded) + len(chunks) > KNOWN:
+            self.coded.clear()
+        fresh = [c for c in chunks if c not in self.coded]
+        # The tokenizer puts a mark in front itself, but not before an empty text.
+        found = dict(zip(fresh, self.sp.encode([c[1:] for c in fresh], num_threads=1)))
+        if MARK in found:
+            found[MARK] = [self.sp.piece_to_id(MARK)]
+        out = [self.coded[c] if c in self.coded else found[c] for c in chunks]
+        self.coded.update((c, ids) for c, ids in found.items() if len(c) <= KNOWN_CHARS)
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids; the mark in front of the first word is dropped."""
         out = b"".join([self.bytes[i] for i in ids])
@@ -258,6 +277,7 @@ class Group:
         self.first = [*first, len(self.words)]
         self.cuts = [0, *self.chunk[first[1:]].tolist(), n]
         self.held: tuple[int, Lattice, np.ndarray] | None = None
+        self.known: tuple[int, list[str], np.ndarray] | None = None
 
     def lattice(self, k: int) -> tuple[Lattice, np.ndarray]:
         """The lattice of stretch ``k`` and, for each of its chunks, the shift from nodes to places.
@@ -268,10 +288,31 @@ class Group:
             self.held = k, *self._lattice(k)
         return self.held[1:]
 
+    def _kinds(self, k: int) -> tuple[list[str], np.ndarray]:
+        """The distinct chunks of stretch ``k``, and which each of its chunks is; the last ones asked for are held."""
+        if self.known is None or self.known[0] != k:
+            words = self.words[self.first[k] : self.first[k + 1]]
+            known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            self.known = k, list(known), np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return self.known[1:]
+
+    def encoded(self) -> list[np.ndarray]:
+        """The tokenizer's own ids of every text, joined from those of its chunks."""
+        parts, counts = [], []
+        for k in range(len(self.cuts) - 1):
+            known, kind = self._kinds(k)
+            ids = self.v.encode(known)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum()))
+            number, start = size[kind], (np.cumsum(size) - size)[kind]
+            ends = np.cumsum(number)
+            parts.append(flat[np.repeat(start - ends + number, number) + np.arange(number.sum())])
+            counts.append(number)
+        total = np.bincount(self.owner, np.concatenate(counts), len(self.size)).astype(np.int64)
+        return np.split(np.concatenate(parts), np.cumsum(total)[:-1])
+
     def _lattice(self, k: int) -> tuple[Lattice, np.ndarray]:
-        words = self.words[self.first[k] : self.first[k + 1]]
-        known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        kind = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        known, kind = self._kinds(k)
         ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known)))
         size = np.diff(ends, prepend=0)
         codes = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -447,10 +488,12 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = N
 
         def settle() -> None:
             texts = [h[1] for h in held]
-            best = v.sp.encode(texts, num_threads=1) if encoded else [None] * len(held)
-            for (doc, text, _), own, enc in zip(held, Group(v, texts, [h[2] for h in held]).sample(k), best):
+            group, best = Group(v, texts, [h[2] for h in held]), [None] * len(held)
+            if encoded:
+                best = group.encoded() if v.apart else [np.array(x, np.int64) for x in v.sp.encode(texts, num_threads=1)]
+            for (doc, text, _), own, enc in zip(held, group.sample(k), best):
                 data = text.encode("utf-8", "replace")
-                more = (*shown(np.array(enc, np.int64)), v.decode(enc) == data) if encoded else ()
+                more = (*shown(enc), v.decode(enc.tolist()) == data) if encoded else ()
                 for s, (pieces, logp, q) in enumerate(own or [(np.zeros(0, np.int64), 0.0, 1.0)]):
                     ids = ids_of(v, text, pieces)
                     out.add(doc, s, *shown(ids), logp, q, v.decode(ids.tolist()) == data, *more)

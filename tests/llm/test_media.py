@@ -362,3 +362,50 @@ def test_pairs_at_once_as_one_by_one():
         one, two = (x[np.arange(n), which] for x in (a, b))
         at_once = media._all_alike(left, np.arange(n), right, np.arange(n), one, two, number)
         assert at_once.tolist() == [media._alike(left, k, right, k, one[k], two[k], int(number[k])) for k in range(n)]
+
+
+def test_words_are_encoded_once(spark, monkeypatch):
+    """Ids joined from those of words are the tokenizer's own ids of the text; it sees a word once."""
+    v = segment.Vocabulary(segment.model_path())
+    assert v.apart
+    rng = random.Random(9)
+    units = ["the", "cat", " ", "  ", "\n", "\t", "▁", "é", "é", "́", "①", "🙂", "a", ".", " ", "　", "​", "ﬁ", "\x00", "\x7f", "漢字", "123", "x" * 70]
+    texts = ["", " ", "  ", "a ", " a", "▁", "a▁ b", *("".join(rng.choice(units) for _ in range(rng.randint(1, 40))) for _ in range(400))]
+    for size in (160_000, 50):
+        monkeypatch.setattr(segment, "SEGMENT", size)
+        got = segment.Group(v, texts, list(range(len(texts)))).encoded()
+        assert [x.tolist() for x in got] == v.sp.encode(texts)
+    for known in (0, 200_000):  # as little and as much remembered
+        monkeypatch.setattr(segment, "KNOWN", known)
+        assert [x.tolist() for x in segment.Group(v, texts[:50], list(range(50))).encoded()] == v.sp.encode(texts[:50])
+
+    seen = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(sp, name)
+
+        def encode(self, chunks, **more):
+            seen.extend(chunks)
+            return sp.encode(chunks, **more)
+
+    sp, v.sp = v.sp, Counted()
+    v.coded.clear()
+    monkeypatch.setattr(segment, "vocabulary", lambda *a: v)
+    run = {}
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+            return self
+
+    segment.sample_segmentations(Frame(), encoded=True)
+    import pyarrow as pa
+
+    batch = pa.record_batch([list(range(1200)), [b"the cat sat on the mat"] * 1200, list(range(1200))], names=["doc_id", "data", "key"])
+    rows = [x for b in run["f"](iter([batch])) for x in b.to_pylist()]
+    assert {x["doc_id"] for x in rows} == set(range(1200)) and all(x["enc_exact"] and x["enc_ids"] == sp.encode("the cat sat on the mat") for x in rows)
+    assert sorted(seen) == ["cat", "mat", "on", "sat", "the"]
