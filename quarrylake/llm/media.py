@@ -3,9 +3,9 @@
 Corners (Harris maxima at several scales) get an orientation from the intensity centroid and a
 128-bit descriptor of brightness comparisons turned by it. Images are dealt into groups by id, and
 a task for every two groups compares their descriptors: all pairs within ``MAX_BITS`` = 7 bits
-are matches, found by counts of set bits that bound the distance from below. Matches of two
-images agree if enough of them imply one similarity transform (turn, scale and shift); agreeing
-images link, and components of the links whose transform makes the images alike are the groups
+are matches, found by counts of set bits that bound the distance from below; equal descriptors
+are compared once. Matches of two images agree if enough of them imply one similarity transform
+(turn, scale and shift); agreeing images link, and components of the links whose transform makes the images alike are the groups
 of copies. Matches and links never leave their task, which counts the links of each image and
 keeps one way to the least image that it is joined with.
 Equal images are described once.
@@ -35,12 +35,16 @@ MAX_BITS, MIN_MATCHES, SHIFT = 7, 5, 4.0
 #: that agree (resized copies 0.58 or more, unrelated large pictures at most 0.05).
 ALIKE, SHARE = 24, 1 / 16
 #: Corners of a group of images, of the images of a group that are compared at a time, and matches held at a time.
-GROUP, ROWS, HELD = 200_000, 6_000, 8_000_000
+GROUP, ROWS, HELD = 200_000, 50_000, 60_000_000
+#: Matches whose turns are counted at a time, and those left that wait to be judged together.
+VOTES, WAITING = 30_000, 1_000_000
 #: Groups at least, so that there are tasks for all cores.
 LEAST_GROUPS = 8
-#: Turns are counted in steps, and their differences in sectors; a sector holds twice the difference
-#: (4 * pi / TURNS) that two matches which agree may have, and what rounding to steps adds.
-STEPS, SECTORS = 700, 7
+#: Turns are counted in steps, and their differences in sectors. An arc has the steps within which the differences
+#: lie that agree with one of them (by 4 * pi / TURNS), and what rounding adds; it meets ``MEET`` sectors at most.
+STEPS, SECTORS = 700, 14
+ARC = 4 * STEPS // TURNS + 3
+MEET = (ARC - 1) // (STEPS // SECTORS) + 2
 _sector = np.arange(2 * STEPS) % STEPS // (STEPS // SECTORS)
 #: Steps of at most 1.5 between scales, so that copies resized by 1.5, 2 or 3 share descriptors.
 SCALES = (1, 1.5, 2, 3)
@@ -177,9 +181,14 @@ def _view(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits = np.unpackbits(d[:: len(d) // 4096 + 1].view(np.uint8), axis=1).astype(float)
     bits -= bits.mean(axis=0)
     values, vectors = np.linalg.eigh(bits.T @ bits)
-    load = vectors[:, -2:] * np.sqrt(np.maximum(values[-2:], 0))
-    own = abs(load).argmax(axis=1)
-    return tuple(np.packbits(x).view(np.uint64) for x in (load[np.arange(BITS), own] < 0, own == 1, own == 0))
+    some, views = d[:: len(d) // 500 + 1], []
+    for turn in np.arange(6) * np.pi / 12:
+        load = vectors[:, -2:] * np.sqrt(np.maximum(values[-2:], 0)) @ [[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]]
+        own = abs(load).argmax(axis=1)
+        views.append(tuple(np.packbits(x).view(np.uint64) for x in (load[np.arange(BITS), own] < 0, own == 1, own == 0)))
+    bits = [[np.bitwise_count((some ^ v[0]) & mask).sum(axis=1, dtype=np.int16) for mask in v[1:]] for v in views]
+    near = [(abs(x[:, None] - x) + abs(y[:, None] - y) <= MAX_BITS).sum() for x, y in bits]
+    return views[int(np.argmin(near))]
 
 
 def _near(a: np.ndarray, b: np.ndarray, view: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,18 +207,19 @@ def _near(a: np.ndarray, b: np.ndarray, view: tuple[np.ndarray, np.ndarray, np.n
     low = np.searchsorted(key, one * 256 + np.maximum(two - room, 0)).tolist()
     high = np.searchsorted(key, one * 256 + two + room, "right").tolist()
     for start, end, lows, highs in zip(first.tolist(), [*first[1:].tolist(), len(rows)], low, high):
-        at = np.concatenate([np.arange(x, y) for x, y in zip(lows, highs)])
-        if not len(at):
+        spans = [slice(x, y) for x, y in zip(lows, highs) if x < y]
+        if not spans:
             continue
-        x, y, at = right[0][at], right[1][at], order[at]
+        x, y, at = (np.concatenate([v[s] for s in spans]) for v in (*right, order))
         size = max(1, 65_536 // len(at))
         for k in range(start, end, size):
             own = slice(k, min(k + size, end))
             far = np.bitwise_count(left[0][own, None] ^ x)
             far += np.bitwise_count(left[1][own, None] ^ y)
-            i, j = np.divmod(np.flatnonzero(far <= MAX_BITS), len(at))
-            if len(i):
-                yield rows[k + i], at[j]
+            found = np.flatnonzero(far <= MAX_BITS)
+            if len(found):
+                i = np.repeat(np.arange(len(far)), np.diff(np.searchsorted(found, np.arange(len(far) + 1) * len(at))))
+                yield rows[k + i], at[found - i * len(at)]
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +283,9 @@ class Side:
         self.ids, self.place, self.d = ids[order], place[corners], d[corners]
         self.image = np.repeat(np.arange(len(order)), sizes[order])
         self.step = np.floor(self.place[:, 2] * (STEPS / (2 * np.pi))).astype(np.int64) % STEPS
+        self.lines = *(np.ascontiguousarray(self.place[:, k]) for k in (0, 1, 3)), np.cos(self.place[:, 2]), np.sin(self.place[:, 2])
         self.cut = np.concatenate(([0], np.cumsum(sizes[order])))
+        self.told: tuple = None, None  # what _distinct gives for some of the images
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -286,6 +298,23 @@ def _implied(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     return turn, np.log(ratio), cos, sin, b[..., 0] - cos * a[..., 0] + sin * a[..., 1], b[..., 1] - sin * a[..., 0] - cos * a[..., 1]
 
 
+def _along(left: Side, i: np.ndarray, right: Side, j: np.ndarray) -> np.ndarray:
+    """Of n pairs of images with m matches each (corners ``i`` and ``j``, m x n): whether ``MIN_MATCHES`` may agree
+    by where their transforms put corners on one axis; most of the pairs that can't link end here."""
+    (ax, ay, a_size, a_cos, a_sin), (bx, _, b_size, b_cos, b_sin) = ([x.take(k) for x in side.lines] for side, k in ((left, i), (right, j)))
+    ratio = b_size / a_size
+    cos, sin = ratio * (b_cos * a_cos + b_sin * a_sin), ratio * (b_sin * a_cos - b_cos * a_sin)
+    tx, reach = bx - cos * ax + sin * ay, SHIFT * b_size + 1e-6
+    out = np.zeros(i.shape[1], bool)
+    for k in range(len(i)):
+        off = cos[k] * ax
+        off -= sin[k] * ay
+        off += tx[k]
+        off -= bx
+        out |= (np.abs(off, out=off) <= reach).sum(axis=0, dtype=np.int16) >= MIN_MATCHES
+    return out
+
+
 def _enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of n pairs of images with m matches each (n x m x 4): whether ``MIN_MATCHES`` may agree.
 
@@ -394,17 +423,48 @@ def _alike(left: Side, x: int, right: Side, y: int, a: np.ndarray, b: np.ndarray
     return bool(np.median(np.concatenate(least)) <= ALIKE)
 
 
-def _block(left: Side, right: Side, rows: tuple[int, int], cols: tuple[int, int], view: tuple) -> Iterator[tuple[int, int, bool]]:
-    """Links (lesser id first, and whether the images are alike) of some images of ``left`` with some of ``right``; halved where the matches are too many at a time."""
+def _all_rows(k: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rows from ``start``, as many as ``size``, of each of the numbers ``k``, one after another."""
+    size = size.take(k)
+    end = np.cumsum(size)
+    out = np.repeat((start.take(k) - end + size).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
+def _distinct(d: np.ndarray, view: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different descriptors in the order that ``_near`` keeps, the rows of ``d`` in that order, and where each one's rows start."""
+    one, two = (np.bitwise_count((d ^ view[0]) & mask).sum(axis=1, dtype=np.int64) for mask in view[1:])
+    order = np.lexsort((d[:, 1], d[:, 0], one << 8 | two))
+    d = d[order]
+    start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1))))
+    return d[start], order, np.append(start, len(d))
+
+
+def _block(left: Side, right: Side, rows: tuple[int, int], cols: tuple[int, int], view: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matches (corners of ``left`` and of ``right``) of some images of ``left`` with some of ``right``, those of every pair that may
+    link and of few others; halved where the matches are too many at a time.
+
+    Each two different descriptors are compared once, however many corners have them."""
     (r0, r1), (c0, c1) = rows, cols
-    at, to, wide = left.cut[r0], right.cut[c0], SECTORS * (c1 - c0)
+    at, to, wide = left.cut[r0], right.cut[c0], c1 - c0
     own, others = slice(at, left.cut[r1]), slice(to, right.cut[c1])
-    row, col = (left.image[own] - r0) * wide, (right.image[others] - c0) * SECTORS
-    before, after = left.step[own], right.step[others] + STEPS
-    parts, held = [], 0
-    for i, j in _near(left.d[own], right.d[others], view):
-        parts.append((i.astype(np.int32), j.astype(np.int32), row[i] + col[j] + _sector[after[j] - before[i]]))
-        held += len(i)
+    if own.start == own.stop or others.start == others.stop:
+        return
+    mine, order, start = _distinct(left.d[own], view)
+    if right.told[0] != cols:
+        right.told = cols, _distinct(right.d[others], view)
+    theirs, corner, first = right.told[1]
+    size, parts, held = np.diff(first), [], 0
+    # Of each of the left's descriptors: how many of the right's are near, how many corners have these, and where they are held.
+    number, reached, part, low = (np.zeros(len(mine), np.int64) for _ in range(4))
+    for i, j in _near(mine, theirs, view):  # in order of i, all of an i together
+        these = slice(i[0], i[-1] + 1)
+        number[these] = np.bincount(i - i[0])
+        reached[these] = np.bincount(i - i[0], size.take(j))
+        part[these], low[these] = len(parts), np.cumsum(number[these]) - number[these]
+        parts.append(j.astype(np.int32))
+        held += len(j)
         if held > HELD and (r1 - r0 > 1 or c1 - c0 > 1):
             del parts
             r, c = (r0 + r1) // 2, (c0 + c1) // 2
@@ -413,17 +473,84 @@ def _block(left: Side, right: Side, rows: tuple[int, int], cols: tuple[int, int]
             return
     if not parts:
         return
-    i, j, pair = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    # Matches that agree lie in one sector or in two neighbours.
-    number = np.minimum(np.bincount(pair, minlength=(r1 - r0) * wide), MIN_MATCHES).astype(np.uint8).reshape(-1, SECTORS)
-    two = number + np.roll(number, -1, axis=1) >= MIN_MATCHES
-    keep = np.flatnonzero((two | np.roll(two, 1, axis=1)).ravel()[pair])
-    del number, two
-    i, j, pair = i[keep] + at, j[keep] + to, pair[keep] // SECTORS
-    other = left.ids[left.image[i]] < right.ids[right.image[j]]
-    i, j, pair = i[other], j[other], pair[other]
-    order = np.argsort(pair, kind="stable")
+    # For each corner of the left, its descriptor and the number of its matches.
+    told = np.empty(len(order), np.int64)
+    told[order] = np.repeat(np.arange(len(mine)), np.diff(start))
+    total = reached[told]
+    # A corner's column and turn, or its row and turn, in one number; so a sum has the pair of images and the difference of turns.
+    right_code = (right.image[others] - c0 << 11 | right.step[others] + STEPS)[corner].astype(np.int32 if wide + VOTES < 1 << 20 else np.int64)
+    left_code = (left.image[own] - r0) * wide * 2048 - left.step[own]
+    ends = np.concatenate(([0], np.cumsum(total)))
+    cut = left.cut[r0 : r1 + 1] - at
+    waiting, kept, r = [], 0, 0
+    while r < r1 - r0:
+        end = int(np.searchsorted(ends[cut], ends[cut[r]] + VOTES, "right")) - 1
+        end = min(max(end, r + 1), r + max(1, VOTES // wide), r1 - r0)
+        some = slice(cut[r], cut[end])
+        u, many = told[some], ends[cut[end]] - ends[cut[r]]
+        if many > HELD // 4 and c1 - c0 > 1:  # of one image
+            for half in ((c0, (c0 + c1) // 2), ((c0 + c1) // 2, c1)):
+                yield from _block(left, right, (r0 + r, r0 + end), half, view)
+        elif many >= MIN_MATCHES:
+            j = np.concatenate([parts[k][x : x + y] for k, x, y in zip(part[u].tolist(), low[u].tolist(), number[u].tolist())])
+            j = _all_rows(j, first, size)
+            code = right_code.take(j)
+            code += np.repeat((left_code[some] - r * wide * 2048).astype(code.dtype), total[some])
+            pair, pairs = code >> 11, (end - r) * wide
+            code &= 2047
+            cell = (_sector * pairs).take(code)
+            cell += pair
+            votes = np.bincount(cell, minlength=SECTORS * pairs)
+            votes = np.minimum(votes, MIN_MATCHES, out=votes).astype(np.uint8).reshape(SECTORS, -1)
+            # Matches that agree lie in as many neighbouring sectors as an arc meets.
+            enough = _around(votes, np.add) >= MIN_MATCHES
+            if enough.any():
+                keep = np.flatnonzero(_around(enough[::-1], np.logical_or)[::-1].ravel().take(cell))
+                i = np.searchsorted(ends, keep + ends[cut[r]], "right") - 1
+                waiting.append((i + at, corner[j[keep]] + to, pair[keep] + r * wide))
+                kept += len(keep)
+        r = end
+        if waiting and (kept > WAITING or r == r1 - r0):
+            yield _likely(left, right, *(np.concatenate(x) for x in zip(*waiting)))
+            waiting, kept = [], 0
+
+
+def _around(x: np.ndarray, add: np.ufunc) -> np.ndarray:
+    """Each row together with the next ones, ``MEET`` in all, the first row after the last."""
+    x = np.concatenate((x, x[: MEET - 1]))
+    out = x[:SECTORS]
+    for k in range(1, MEET):
+        out = add(out, x[k : SECTORS + k])
+    return out
+
+
+def _likely(left: Side, right: Side, i: np.ndarray, j: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of matches of numbered pairs of images, those of pairs that have enough corners and are likely by ``_along``."""
+    if left.ids[-1] >= right.ids[0]:
+        other = left.ids[left.image[i]] < right.ids[right.image[j]]
+        i, j, pair = i[other], j[other], pair[other]
+    if not len(i):
+        return i, j
+    order = np.argsort(pair * len(left.d) + i)
+    i, j, pair = i[order], j[order], pair[order]
+    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    corners = np.add.reduceat(np.concatenate(([True], i[1:] != i[:-1])) | np.concatenate(([True], pair[1:] != pair[:-1])), first, dtype=np.int64)
+    sizes = np.diff(np.append(first, len(pair)))
+    first, sizes = first[corners >= MIN_MATCHES], sizes[corners >= MIN_MATCHES]
+    found = []
+    for m in np.unique(sizes).tolist():
+        own = first[sizes == m]
+        for k in range(0, len(own), n := max(1, VOTES // m)):
+            some = own[k : k + n] + np.arange(m)[:, None]
+            found.append(some[:, _along(left, i.take(some), right, j.take(some))].ravel())
+    found = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return i[found], j[found]
+
+
+def _judged(left: Side, right: Side, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Links (lesser id first, and whether the images are alike) among matches that hold all of a pair's which may agree."""
+    pair = left.image[i] * len(right) + right.image[j]
+    order = np.argsort(pair)
     i, j, pair = i[order], j[order], pair[order]
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(pair)))
@@ -482,15 +609,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     left, right = side(group <= other), side(group >= other)
     same, view = bool((group == other).all()), _view(d)
-    out, r = Writer(_LINK), 0
+    out, r, waiting = Writer(_LINK), 0, []
     while r < len(left) and len(right):
         c = r if same else 0
-        end = int(np.searchsorted(left.cut, left.cut[r] + ROWS, "right")) - 1
-        end = min(max(end, r + 1), r + max(1, 2_000_000 // (len(right) - c)), len(left))
-        for link in _block(left, right, (r, end), (c, len(right)), view):
+        end = int(np.searchsorted(left.cut, left.cut[r] + (ROWS if same else 5 * ROWS), "right")) - 1
+        end = min(max(end, r + 1), len(left))
+        for found in _block(left, right, (r, end), (c, len(right)), view):
+            waiting.append(found)
+            if sum(len(x) for x, _ in waiting) > WAITING:
+                for link in _judged(left, right, *(np.concatenate(x) for x in zip(*waiting))):
+                    if out.add(*link):
+                        yield out.flush()
+                waiting = []
+        r = end
+    if waiting:
+        for link in _judged(left, right, *(np.concatenate(x) for x in zip(*waiting))):
             if out.add(*link):
                 yield out.flush()
-        r = end
     if len(out):
         yield out.flush()
 

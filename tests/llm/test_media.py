@@ -409,3 +409,55 @@ def test_words_are_encoded_once(spark, monkeypatch):
     rows = [x for b in run["f"](iter([batch])) for x in b.to_pylist()]
     assert {x["doc_id"] for x in rows} == set(range(1200)) and all(x["enc_exact"] and x["enc_ids"] == sp.encode("the cat sat on the mat") for x in rows)
     assert sorted(seen) == ["cat", "mat", "on", "sat", "the"]
+
+
+def drawn_batch(images):
+    """Images ``{id: (places, descriptors)}`` of one group, as ``_links`` takes them."""
+    import pyarrow as pa
+
+    words = [[int(w) for x in d.tolist() for y in x for w in (y >> 32, y & 0xFFFFFFFF)] for _, d in images.values()]
+    columns = [list(images), [0] * len(images), [0] * len(images), [p.ravel().tolist() for p, _ in images.values()], words]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int64()))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "g", "other", "place", "word"])
+
+
+def test_repeated_descriptors_are_compared_once(monkeypatch):
+    """Work grows with the different descriptors, and few pairs without a link are looked at in full; all links come out."""
+    rng = np.random.default_rng(21)
+    kinds = rng.integers(0, 1 << 63, (30, 2), dtype=np.uint64)
+    images = {}
+    for i in range(120):
+        place = np.stack([rng.uniform(9, 87, 12), rng.uniform(9, 87, 12), rng.uniform(-np.pi, np.pi, 12), np.ones(12)], axis=1)
+        if i % 6 == 5:  # a copy, shifted
+            place = images[i - 1][0] + [3, -2, 0, 0]
+        images[i] = place.astype(np.float32).astype(float), images[i - 1][1] if i % 6 == 5 else kinds[rng.integers(0, 30, 12)]
+    want = set()
+    for i in images:
+        for j in range(i + 1, 120):
+            (a, da), (b, db) = images[i], images[j]
+            x, y = np.nonzero(np.bitwise_count(da[:, None] ^ db[None]).sum(axis=2) <= media.MAX_BITS)
+            if len(x) >= media.MIN_MATCHES and media.consensus(a[x], b[y]) >= media.MIN_MATCHES:
+                want.add((i, j))
+    assert want >= {(i - 1, i) for i in range(5, 120, 6)}
+    near, full, compared, looked = media._near, media._enough, [], []
+    monkeypatch.setattr(media, "_near", lambda a, b, view: compared.append(len(a) * len(b)) or near(a, b, view))
+    monkeypatch.setattr(media, "_enough", lambda a, b: looked.append(len(a)) or full(a, b))
+    got = [(x["a"], x["b"]) for part in media._links(iter([drawn_batch(images)])) for x in part.to_pylist()]
+    assert sorted(got) == sorted(want)
+    assert sum(compared) <= 30 * 30, compared
+    assert sum(looked) <= 2 * len(want), (looked, len(want))
+
+
+def test_one_image_with_very_many_matches(monkeypatch):
+    """An image whose corners all look alike is taken with some of the others at a time; links stay the same."""
+    rng = np.random.default_rng(22)
+    kind = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64)
+    place = lambda n: np.stack([rng.uniform(9, 300, n), rng.uniform(9, 300, n), np.zeros(n), np.ones(n)], axis=1)
+    images = {i: (place(n), np.repeat(kind, n, axis=0)) for i, n in enumerate((40, 6, 6, 6, 40, 6))}
+    images[6] = images[1][0] + [5, 5, 0, 0], images[1][1]
+    got = {}
+    for held in (24_000_000, 2_000, 100):
+        monkeypatch.setattr(media, "HELD", held)
+        got[held] = sorted((x["a"], x["b"], x["alike"]) for part in media._links(iter([drawn_batch(images)])) for x in part.to_pylist())
+    assert got[24_000_000] == got[2_000] == got[100]
+    assert (1, 6, True) in got[100]
