@@ -425,9 +425,10 @@ def _alike(left: Side, x: int, right: Side, y: int, a: np.ndarray, b: np.ndarray
 
 def _all_rows(k: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The rows from ``start``, as many as ``size``, of each of the numbers ``k``, one after another."""
-    size = size.take(k)
-    end = np.cumsum(size)
-    out = np.repeat((start.take(k) - end + size).astype(np.int32), size)
+    start, size = start.take(k), size.take(k)
+    start -= np.cumsum(size, dtype=np.int32)
+    start += size
+    out = np.repeat(start, size)
     out += np.arange(len(out), dtype=np.int32)
     return out
 
@@ -455,7 +456,8 @@ def _block(left: Side, right: Side, rows: tuple[int, int], cols: tuple[int, int]
     if right.told[0] != cols:
         right.told = cols, _distinct(right.d[others], view)
     theirs, corner, first = right.told[1]
-    size, parts, held = np.diff(first), [], 0
+    first, parts, held = first.astype(np.int32), [], 0
+    size = np.diff(first)
     # Of each of the left's descriptors: how many of the right's are near, how many corners have these, and where they are held.
     number, reached, part, low = (np.zeros(len(mine), np.int64) for _ in range(4))
     for i, j in _near(mine, theirs, view):  # in order of i, all of an i together
