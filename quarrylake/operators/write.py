@@ -158,6 +158,15 @@ def _bounded(f: dict) -> bool:
     return not isinstance(f["type"], dict) and kind(f["type"]) not in NO_BOUNDS
 
 
+def per_file(staged: DataFrame, aggs: list[Column], *by: str) -> DataFrame:
+    """A row for each staged file, its path ``p`` and ``size``, with aggregates of its rows.
+
+    Spark would sort all rows of a task for the least of texts, as texts have no fixed width; beside
+    an aggregate that keeps objects (``__held``, always empty) it holds a buffer a file instead."""
+    held = F.collect_set(F.lit(None).cast("int")).alias("__held")
+    return staged.groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size"), *by).agg(*aggs, held)
+
+
 def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[dict], tuple_cols: list, target: T.StructType, order_id: int) -> tuple[list[dict], int | None]:
     """Statistics and tuples of the staged files, one row a file; then the files move. The least
     stored row id comes second, if every row has one."""
@@ -186,7 +195,7 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
     lineage = ROW_ID_NAME in target.names
     if lineage:
         aggs += [F.count(ROW_ID_NAME).alias("ids"), F.min(ROW_ID_NAME).alias("first_id")]
-    rows = staged.groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size")).agg(*aggs).collect()
+    rows = per_file(staged, aggs).collect()
     out, moves = [], []
     for r in sorted(rows, key=lambda r: r["p"]):
         n = r["n"]
@@ -271,12 +280,9 @@ def stage_position_deletes(spark: SparkSession, io, location: str, positions: Da
     staging = f"{location}/data/_staging-{uuid.uuid4().hex}"
     try:
         out.hint("rebalance", "__pt").sortWithinPartitions("__pt", "file_path", "pos").write.option("compression", "snappy").partitionBy("__pt").parquet(canonical(staging))
-        found = (
-            spark.read.schema("file_path string, pos long, __pt string").parquet(canonical(staging))
-            .groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size"), "__pt")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("low"), F.max("file_path").alias("high"))
-            .collect()
-        ) if held.limit(1).count() else []
+        aggs = [F.count(F.lit(1)).alias("n"), F.min("file_path").alias("low"), F.max("file_path").alias("high")]
+        staged = spark.read.schema("file_path string, pos long, __pt string").parquet(canonical(staging))
+        found = per_file(staged, aggs, "__pt").collect() if held.limit(1).count() else []
         entries, moves = [], []
         for r in found:
             e = groups[r["__pt"]]

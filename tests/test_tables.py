@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.functions.types import schema_from
-from quarrylake.operators import scan
+from quarrylake.operators import scan, write
 from quarrylake.plans import commit
 from quarrylake.plans.sql import query, references
 from quarrylake.sources import credentials, manifests
@@ -575,3 +575,18 @@ def test_rewrite_takes_no_new_row_ids(spark, catalog):
     assert t.meta["next-row-id"] == before and values(t.read(lineage=True).select("a", "_row_id")) == ids
     t.append(spark.createDataFrame([(9,)], "a int"))
     assert (9, before) in values(t.read(lineage=True).select("a", "_row_id"))
+
+
+def test_statistics_sort_no_rows(spark, catalog):
+    """Least and greatest texts of a file need no sort of its rows, and come out as by hand."""
+    rows = [(i, f"{(i * 7919) % 1000:04d} and a tail beyond the bound", None if i % 3 else "é") for i in range(300)]
+    t = make(catalog, spark, rows, "id long, s string, n string", spec=[{"source": "id", "transform": "truncate[2]"}])
+    staged = spark.read.parquet(*[e["data_file"]["file_path"] for e in t.plan().data])
+    plan = write.per_file(staged, [F.min("s"), F.max("s")])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+    assert len(t.plan().data) == 150  # more than Spark keeps in its map of objects
+    for e in t.plan().data:
+        d = e["data_file"]
+        own = [r for r in rows if r[0] - r[0] % 2 == d["partition"]["id_truncate"]]
+        assert d["lower_bounds"][2] == min(r[1] for r in own)[:16].encode() and d["upper_bounds"][2] > max(r[1] for r in own)[:16].encode()
+        assert d["null_value_counts"] == {1: 0, 2: 0, 3: sum(r[2] is None for r in own)} and d["record_count"] == len(own)
