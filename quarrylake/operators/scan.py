@@ -18,17 +18,22 @@ from .prune import Pruner
 
 PATH, POS, SEQ, FIRST, ORDINAL, TUPLE = "__path", "__pos", "__seq", "__first", "__ordinal", "__tuple"
 PATH_FIELD = 2147483546
+#: What names of our own files, or of the folder that they are in, end with.
 OWN = "-ql.parquet"
 #: Per-file constants of more files than this are joined by a shuffle.
 BROADCAST_FILES = 50_000
+LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def configure(spark: SparkSession) -> None:
-    """What tables need of a session: ids in Parquet, microsecond timestamps, nanoseconds as longs."""
+    """What tables need of a session: ids in Parquet, microsecond timestamps, nanoseconds as longs,
+    and folders listed by no more tasks than keep the cores busy (by default a task a folder)."""
     spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
     spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    if spark.conf.get(LISTERS) == "10000":
+        spark.conf.set(LISTERS, str(max(32, 4 * spark.sparkContext.defaultParallelism)))
 
 
 @dataclass
@@ -110,7 +115,7 @@ class Footers:
         ids come with the file's type."""
         path = entry["data_file"]["file_path"]
         snap = self.snapshots.get(entry["snapshot_id"])
-        if path.endswith(OWN) and snap and snap.get("schema-id") is not None:
+        if (path.endswith(OWN) or f"{OWN}/" in path) and snap and snap.get("schema-id") is not None:
             by = {f["id"]: f["name"] for f in md.schema(self.meta, snap["schema-id"])["fields"] if f["type"] != "unknown"}
             if snap["summary"].get("operation") == "replace" and self.meta["format-version"] >= 3:
                 by |= {ROW_ID: ROW_ID_NAME, LAST_SEQ: LAST_SEQ_NAME}
@@ -256,7 +261,7 @@ def _read_group(spark, p: Plan, has_ids: bool, columns: tuple, own: list, fields
         consts = spark.createDataFrame(rows, f"{PATH} string, {ORDINAL} long, {SEQ} long, {FIRST} long, {TUPLE} string")
         df = df.join(F.broadcast(consts) if len(rows) <= BROADCAST_FILES else consts, PATH)
     if touched:
-        df = _without_deleted(spark, p, df, [touched[n] for n, _ in own if n in touched])
+        df = _without_deleted(spark, p, df, [touched[n] for n, _ in own if n in touched], consts)
     names = [f"`{f['name']}`" for f in p.schema["fields"]]
     if lineage:
         seq = F.when(F.col(FIRST).isNotNull(), F.col(SEQ))
@@ -265,8 +270,9 @@ def _read_group(spark, p: Plan, has_ids: bool, columns: tuple, own: list, fields
     return df.select(*names, *((POS, ORDINAL, PATH) if positions else ()))
 
 
-def _without_deleted(spark, p: Plan, df: DataFrame, lists: list[list[dict]]) -> DataFrame:
-    """Anti joins with positions, vectors and equality keys."""
+def _without_deleted(spark, p: Plan, df: DataFrame, lists: list[list[dict]], consts: DataFrame) -> DataFrame:
+    """Anti joins with positions, vectors and equality keys. Positions are matched by the files'
+    ordinals in ``consts``, so no row carries its path through a shuffle."""
     every = {(d["data_file"]["file_path"], d["data_file"].get("content_offset")): d for own in lists for d in own}.values()
     vectors = [d for d in every if is_vector(d)]
     files = [d for d in every if d["data_file"]["content"] == manifests.POSITION_DELETES and not is_vector(d)]
@@ -274,16 +280,19 @@ def _without_deleted(spark, p: Plan, df: DataFrame, lists: list[list[dict]]) ->
     for d in every:
         if d["data_file"]["content"] == manifests.EQUALITY_DELETES:
             equal.setdefault(tuple(sorted(d["data_file"]["equality_ids"])), []).append(d)
+    place = consts.select(F.col(PATH).alias("__dpath"), F.col(ORDINAL).alias("__dn"), F.col(SEQ).alias("__own"), F.col(TUPLE).alias("__at"))
+    place = F.broadcast(place) if len(p.data) <= BROADCAST_FILES else place
     if vectors:
-        gone = vector_rows(spark, vectors)
-        df = df.join(gone, (df[PATH] == gone["__dpath"]) & (df[POS] == gone["__dpos"]), "left_anti")
+        gone = vector_rows(spark, vectors).join(place, "__dpath").select("__dn", "__dpos")
+        df = df.join(gone, (df[ORDINAL] == gone["__dn"]) & (df[POS] == gone["__dpos"]), "left_anti")
     if files:
         covered = {canonical(target_of(d)) for d in vectors}
         gone = position_rows(spark, files)
         if covered:
             gone = gone.where(~F.col("__dpath").isin(list(covered)))
-        match = (df[PATH] == gone["__dpath"]) & (df[POS] == gone["__dpos"]) & (gone["__dseq"] >= df[SEQ]) & (gone["__dtuple"].isNull() | (gone["__dtuple"] == df[TUPLE]))
-        df = df.join(gone, match, "left_anti")
+        reached = (F.col("__dseq") >= F.col("__own")) & (F.col("__dtuple").isNull() | (F.col("__dtuple") == F.col("__at")))
+        gone = gone.join(place, "__dpath").where(reached).select("__dn", "__dpos")
+        df = df.join(gone, (df[ORDINAL] == gone["__dn"]) & (df[POS] == gone["__dpos"]), "left_anti")
     known = {f["id"]: f for s in [*p.meta.get("schemas", []), p.schema] for f in s["fields"]}
     for ids, own in equal.items():
         names = [known[i]["name"] for i in ids]

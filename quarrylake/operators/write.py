@@ -1,8 +1,9 @@
 """Writing data and delete files: staging by Spark, statistics in one aggregate, entries.
 
 Rows are dealt by partition tuple with a rebalance, which splits tuples that many rows share,
-sorted within tasks, and written below a staging folder. Statistics and tuple values of every
-file come from one aggregate over the staged files; the files then move into ``data/``.
+sorted within tasks, and written to a folder of their own below ``data/``, where they stay.
+Statistics and tuple values of every file come from one aggregate over them. Delete files are
+staged and then move into ``data/``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ NO_BOUNDS = {"variant", "unknown", "geometry", "geography"}
 CODECS = ("snappy", "uncompressed", "zstd", "gzip")
 #: Files that are moved at a time.
 MOVES = 16
+#: Rows of a range at most, about, where rows are dealt by the declared order.
+RANGE_ROWS = 500_000
 
 
 @dataclass
@@ -34,7 +37,7 @@ class Staged:
     """Files that are written but not yet part of the table."""
 
     entries: list[dict]
-    paths: list[str] = field(default_factory=list)
+    paths: list[str] = field(default_factory=list)  # what goes if they are not wanted: their folder
     rows: int = 0
     first_id: int | None = None  # the least stored row id, if every row has one
 
@@ -108,8 +111,9 @@ def _key(c: Column, t: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), text), F.lit("null"))
 
 
-def stage_data(spark: SparkSession, io, location: str, meta: dict, df: DataFrame, *, codec: str = "snappy", sort: bool = True, max_rows: int = 0, ranged: bool = False) -> Staged:
-    """Write rows under the table's default spec and sort order; returns ADDED entries."""
+def stage_data(spark: SparkSession, io, location: str, meta: dict, df: DataFrame, *, codec: str = "snappy", sort: bool = True, max_rows: int = 0, ranged: int | None = None) -> Staged:
+    """Write rows under the table's default spec and sort order; returns ADDED entries. ``ranged``,
+    about the number of rows, deals them by ranges of the order, so that files follow each other in it."""
     if codec not in CODECS:
         raise ValueError(f"codec {codec} is not supported")
     configure(spark)
@@ -123,8 +127,9 @@ def stage_data(spark: SparkSession, io, location: str, meta: dict, df: DataFrame
     if tuple_cols:
         key = F.lower(F.hex(F.xxhash64(F.concat_ws("/", *[_key(c, t) for _, c, t in tuple_cols]))))
         df = df.withColumn("__pt", key)
-    if ranged and sorts:
-        df = df.repartitionByRange(*(["__pt"] if tuple_cols else []), *sorts)
+    if ranged is not None and sorts:
+        n = -(-ranged // RANGE_ROWS)  # beyond the session's own number, which Spark merges again
+        df = df.repartitionByRange(*([n] if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else []), *(["__pt"] if tuple_cols else []), *sorts)
     elif tuple_cols:
         df = df.hint("rebalance", "__pt")
     if tuple_cols or sorts:
@@ -132,20 +137,21 @@ def stage_data(spark: SparkSession, io, location: str, meta: dict, df: DataFrame
     reserved = [{"id": ROW_ID, "name": ROW_ID_NAME, "type": "long"}, {"id": LAST_SEQ, "name": LAST_SEQ_NAME, "type": "long"}]
     target = struct([f | {"required": False} for f in fields] + [r for r in reserved if r["name"] in lineage])
     with_ids = df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in target.fields], *(["__pt"] if tuple_cols else []))
-    staging = f"{location}/data/_staging-{uuid.uuid4().hex}"
-    writer = with_ids.write.option("compression", codec)
+    folder = f"{location}/data/{uuid.uuid4().hex}{OWN}"
+    writer = with_ids.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     if max_rows:
         writer = writer.option("maxRecordsPerFile", max_rows)
     if tuple_cols:
         writer = writer.partitionBy("__pt")
     try:
-        writer.parquet(canonical(staging))
-        entries, first_id = _collect(spark, io, location, staging, meta, fields, tuple_cols, target, order["order-id"] if sorts else 0)
+        writer.parquet(canonical(folder))
+        entries, first_id = _collect(spark, folder, meta, fields, tuple_cols, target, order["order-id"] if sorts else 0)
     except BaseException:
-        io.delete(staging)
+        io.delete(folder)
         raise
-    io.delete(staging)
-    return Staged(entries, [e["data_file"]["file_path"] for e in entries], sum(e["data_file"]["record_count"] for e in entries), first_id)
+    if not entries:
+        io.delete(folder)
+    return Staged(entries, [folder] if entries else [], sum(e["data_file"]["record_count"] for e in entries), first_id)
 
 
 def _move(io, location: str, pairs: list[tuple[str, str]]) -> None:
@@ -167,10 +173,10 @@ def per_file(staged: DataFrame, aggs: list[Column], *by: str) -> DataFrame:
     return staged.groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size"), *by).agg(*aggs, held)
 
 
-def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[dict], tuple_cols: list, target: T.StructType, order_id: int) -> tuple[list[dict], int | None]:
-    """Statistics and tuples of the staged files, one row a file; then the files move. The least
-    stored row id comes second, if every row has one."""
-    staged = spark.read.schema(target).parquet(canonical(staging))
+def _collect(spark, folder: str, meta: dict, fields: list[dict], tuple_cols: list, target: T.StructType, order_id: int) -> tuple[list[dict], int | None]:
+    """Entries of a folder's files with statistics and tuples, one row a file. The least stored row
+    id comes second, if every row has one."""
+    staged = spark.read.schema(target).parquet(canonical(folder))
     aggs = [F.count(F.lit(1)).alias("n")]
     for f in fields:
         c, i = F.col(f"`{f['name']}`"), f["id"]
@@ -196,7 +202,7 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
     if lineage:
         aggs += [F.count(ROW_ID_NAME).alias("ids"), F.min(ROW_ID_NAME).alias("first_id")]
     rows = per_file(staged, aggs).collect()
-    out, moves = [], []
+    out, name = [], folder.rpartition("/")[2]
     for r in sorted(rows, key=lambda r: r["p"]):
         n = r["n"]
         tuple_ = {}
@@ -220,8 +226,7 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
                 low[i] = serde.to_bytes(a, t)
                 if b is not None:
                     high[i] = serde.to_bytes(b, t)
-        path = f"{location}/data/{uuid.uuid4().hex}{OWN}"
-        moves.append((canonical(r["p"]), path))
+        path = f"{folder}/{r['p'].rpartition(f'/{name}/')[2]}"
         out.append(
             {
                 "status": manifests.ADDED,
@@ -232,7 +237,6 @@ def _collect(spark, io, location: str, staging: str, meta: dict, fields: list[di
                 },
             }
         )
-    _move(io, location, moves)
     whole = lineage and rows and all(r["ids"] == r["n"] for r in rows)
     return out, min(r["first_id"] for r in rows) if whole else None
 
@@ -279,7 +283,7 @@ def stage_position_deletes(spark: SparkSession, io, location: str, positions: Da
     out = joined.select(F.coalesce("__told", F.raise_error(F.concat(F.lit("not a data file of the table: "), "__c")).cast("string")).alias("file_path", metadata=meta["file_path"]), F.col("pos").alias("pos", metadata=meta["pos"]), "__pt")
     staging = f"{location}/data/_staging-{uuid.uuid4().hex}"
     try:
-        out.hint("rebalance", "__pt").sortWithinPartitions("__pt", "file_path", "pos").write.option("compression", "snappy").partitionBy("__pt").parquet(canonical(staging))
+        out.hint("rebalance", "__pt", "file_path").sortWithinPartitions("__pt", "file_path", "pos").write.option("compression", "snappy").partitionBy("__pt").parquet(canonical(staging))
         aggs = [F.count(F.lit(1)).alias("n"), F.min("file_path").alias("low"), F.max("file_path").alias("high")]
         staged = spark.read.schema("file_path string, pos long, __pt string").parquet(canonical(staging))
         found = per_file(staged, aggs, "__pt").collect() if held.limit(1).count() else []

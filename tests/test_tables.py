@@ -590,3 +590,12 @@ def test_statistics_sort_no_rows(spark, catalog):
         own = [r for r in rows if r[0] - r[0] % 2 == d["partition"]["id_truncate"]]
         assert d["lower_bounds"][2] == min(r[1] for r in own)[:16].encode() and d["upper_bounds"][2] > max(r[1] for r in own)[:16].encode()
         assert d["null_value_counts"] == {1: 0, 2: 0, 3: sum(r[2] is None for r in own)} and d["record_count"] == len(own)
+
+
+def test_many_files_stay_where_they_are_written(spark, catalog, monkeypatch):
+    """Appended files are not moved one by one, and no task a folder lists them."""
+    moved = []
+    monkeypatch.setattr(write, "_move", lambda *a: moved.append(a))
+    t = make(catalog, spark, [(i,) for i in range(40)], "id long", spec=[{"source": "id", "transform": "identity"}])
+    assert not moved and len({p.split("/data/")[1].split("/")[0] for p in t.plan().paths}) == 1 and len(t.plan().paths) == 40
+    assert int(spark.conf.get(scan.LISTERS)) < 10_000 and values(t.read("id >= 38")) == [(38,), (39,)]
