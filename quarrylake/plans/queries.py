@@ -449,9 +449,9 @@ def count_fast_path(spark, sf_dir):
 
 @register("SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0 ORDER BY o_orderkey LIMIT 200 OFFSET 300)")
 def read_range(spark, sf_dir):
-    df = source(spark, sf_dir, "orders").coalesce(1)
+    df = source(spark, sf_dir, "orders")
     t = made(spark, sf_dir, "orders", order=[{"source": "o_orderkey"}], rows=False)
-    t.append(df.where("o_orderkey <= 3000")).append(df.where("o_orderkey > 3000"))
+    t.append(df.where("o_orderkey <= 3000"), ranged=True).append(df.where("o_orderkey > 3000"), ranged=True)
     return t.delete_where("o_orderkey % 4 = 0").read_range(300, 500).select("o_orderkey")
 
 

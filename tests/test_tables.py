@@ -599,3 +599,27 @@ def test_many_files_stay_where_they_are_written(spark, catalog, monkeypatch):
     t = make(catalog, spark, [(i,) for i in range(40)], "id long", spec=[{"source": "id", "transform": "identity"}])
     assert not moved and len({p.split("/data/")[1].split("/")[0] for p in t.plan().paths}) == 1 and len(t.plan().paths) == 40
     assert int(spark.conf.get(scan.LISTERS)) < 10_000 and values(t.read("id >= 38")) == [(38,), (39,)]
+
+
+def test_ranged_append_deals_rows_in_order(spark, catalog, monkeypatch):
+    """More ranges than the session's partitions where rows are many; files follow each other in the
+    order, so ranges of rows do too, with deletes and after a rewrite."""
+    monkeypatch.setattr(write, "RANGE_ROWS", 50)
+    df = spark.range(0, 1000, 1, 3).select((F.col("id") * 7 % 1000).alias("id"))
+    t = catalog.create_table("t", schema_from(df.schema), sort_order=[{"source": "id"}]).append(df, ranged=True)
+    counts = [e["data_file"]["record_count"] for e in t.plan().data]
+    assert len(counts) > 12 and max(counts) < 200 and sum(counts) == 1000
+    assert [r[0] for r in t.read_range(300, 420).orderBy("id").collect()] == list(range(300, 420))
+    t.delete_where("id % 4 = 0")
+    left = [i for i in range(1000) if i % 4]
+    assert [r[0] for r in t.read_range(300, 420).orderBy("id").collect()] == left[300:420]
+    t.rewrite()
+    assert max(e["data_file"]["record_count"] for e in t.plan().data) < 200 and [r[0] for r in t.read_range(300, 420).orderBy("id").collect()] == left[300:420]
+
+
+def test_no_row_carries_its_path_through_a_delete(spark, catalog):
+    t = make(catalog, spark, [(i, i % 2) for i in range(20)], "id long, p long", spec=[{"source": "p", "transform": "identity"}]).delete_where("id in (3, 4, 11)")
+    df = t.read()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    anti = next(line for line in plan.splitlines() if "LeftAnti" in line)
+    assert "__ordinal" in anti and "__path" not in anti and values(df) == sorted(((i, i % 2) for i in range(20) if i not in (3, 4, 11)), key=str)
