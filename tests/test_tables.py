@@ -592,13 +592,12 @@ def test_statistics_sort_no_rows(spark, catalog):
         assert d["null_value_counts"] == {1: 0, 2: 0, 3: sum(r[2] is None for r in own)} and d["record_count"] == len(own)
 
 
-def test_many_files_stay_where_they_are_written(spark, catalog, monkeypatch):
-    """Appended files are not moved one by one, and no task a folder lists them."""
-    moved = []
-    monkeypatch.setattr(write, "_move", lambda *a: moved.append(a))
-    t = make(catalog, spark, [(i,) for i in range(40)], "id long", spec=[{"source": "id", "transform": "identity"}])
-    assert not moved and len({p.split("/data/")[1].split("/")[0] for p in t.plan().paths}) == 1 and len(t.plan().paths) == 40
-    assert int(spark.conf.get(scan.LISTERS)) < 10_000 and values(t.read("id >= 38")) == [(38,), (39,)]
+def test_partitioned_append_sorts_no_rows_for_statistics(spark, catalog, monkeypatch):
+    plans, made = [], write.per_file
+    monkeypatch.setattr(write, "per_file", lambda *a: (df := made(*a), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    t = make(catalog, spark, [(dt.datetime(2020, 1 + i % 12, 1), "ANR"[i % 3], f"t{i}") for i in range(48)], "ts timestamp_ntz, f string, s string", spec=[{"source": "ts", "transform": "month"}, {"source": "f", "transform": "identity"}])
+    t.delete_where("s = 't7'")
+    assert len(plans) == 2 and not any("SortAggregate" in x for x in plans) and t.read().count() == 47
 
 
 def test_ranged_append_deals_rows_in_order(spark, catalog, monkeypatch):
@@ -623,3 +622,12 @@ def test_no_row_carries_its_path_through_a_delete(spark, catalog):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     anti = next(line for line in plan.splitlines() if "LeftAnti" in line)
     assert "__ordinal" in anti and "__path" not in anti and values(df) == sorted(((i, i % 2) for i in range(20) if i not in (3, 4, 11)), key=str)
+
+
+def test_many_files_stay_where_they_are_written(spark, catalog, monkeypatch):
+    """Appended files are not moved one by one, and no task a folder lists them."""
+    moved = []
+    monkeypatch.setattr(write, "_move", lambda *a: moved.append(a))
+    t = make(catalog, spark, [(i,) for i in range(40)], "id long", spec=[{"source": "id", "transform": "identity"}])
+    assert not moved and len({p.split("/data/")[1].split("/")[0] for p in t.plan().paths}) == 1 and len(t.plan().paths) == 40
+    assert int(spark.conf.get(scan.LISTERS)) < 10_000 and values(t.read("id >= 38")) == [(38,), (39,)]
